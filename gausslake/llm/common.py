@@ -116,3 +116,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         joined = e.join(least, "u")
         e = checkpointed(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+
+def map_text(df: DataFrame, text: str, keep: list[str], work: Callable[[list], list[pa.Array]], fields: list[tuple[str, str]], rows: int = 256) -> DataFrame:
+    """`keep` columns of `df` followed by `fields`, which `work` makes from lists of at most `rows` texts (null: empty).
+
+    The text goes back to Spark only if it is among `keep`. A clash between `keep` and `fields` is an error of the caller.
+    """
+    inside = text in keep
+    source = df.select(*keep) if inside else df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    at = keep.index(text) if inside else len(keep)
+    names = [*keep, *(f for f, _ in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, rows):
+            made = work([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), *(f"`{n}` {t}" for n, t in fields)])
+    return source.mapInArrow(run, schema)

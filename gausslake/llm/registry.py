@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .quality import op9_quality
 from .simhash import op1_simhash
+from .tokens import op10_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op9_quality": op9_quality,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
