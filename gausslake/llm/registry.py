@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .licenses import op4_licenses
 from .quality import op9_quality
 from .simhash import op1_simhash
 from .tokens import op10_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_licenses": op4_licenses,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
