@@ -24,7 +24,8 @@ from .common import map_text
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LOOSE = regex.compile(r" (?!\S)")
-REMEMBER, LONGEST = 300_000, 64
+#: Distinct pieces and merged strings a worker remembers, and the longest of them in characters.
+REMEMBER, LONGEST = 500_000, 64
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,6 +54,7 @@ class Counter:
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.whole = self._prove()
         self.known: dict[str, int] = {}
+        self.merged: dict[str, int] = {}
 
     def _prove(self) -> frozenset[str]:
         letters = _byte_letters()
@@ -78,7 +80,15 @@ class Counter:
                     of.append((i, rest.setdefault(token, len(rest))))
             out.append(n)
         if rest:
-            sizes = [len(e.ids) for e in self.tokenizer.encode_batch(list(rest), add_special_tokens=False)]
+            merged = self.merged
+            if len(merged) > REMEMBER:
+                merged.clear()
+            sizes = list(map(merged.get, rest))
+            new = [t for t, n in zip(rest, sizes, strict=True) if n is None]
+            for token, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                n = sizes[rest[token]] = len(e.ids)
+                if len(token) <= LONGEST:
+                    merged[token] = n
             for i, k in of:
                 out[i] += sizes[k]
         return out
