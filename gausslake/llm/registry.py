@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .licenses import op4_licenses
+from .neighbours import op5_neighbours
+from .pages import op2_main_text
 from .quality import op9_quality
 from .simhash import op1_simhash
 from .tokens import op10_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_main_text": op2_main_text,
     "op4_licenses": op4_licenses,
+    "op5_neighbours": op5_neighbours,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
