@@ -5,15 +5,19 @@ from __future__ import annotations
 from .licenses import op4_licenses
 from .neighbours import op5_neighbours
 from .pages import op2_main_text
+from .paragraphs import op3_paragraphs
 from .quality import op9_quality
+from .repeats import op6_repeats
 from .simhash import op1_simhash
 from .tokens import op10_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_main_text": op2_main_text,
+    "op3_paragraphs": op3_paragraphs,
     "op4_licenses": op4_licenses,
     "op5_neighbours": op5_neighbours,
+    "op6_repeats": op6_repeats,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
