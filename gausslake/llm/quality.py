@@ -22,7 +22,7 @@ from .common import map_text
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-REMEMBER, CHUNK = 200_000, 200_000
+REMEMBER, CHUNK = 150_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Settings:
     """Bounds and rates of the training: `sample` labelled rows at most, `epochs` over them, 2**`bits` weights."""
 
     bits: int = 18
-    sample: int = 12_000
+    sample: int = 8_000
     epochs: int = 2
     alpha: float = 0.5
     beta: float = 1.0
@@ -97,7 +97,7 @@ def follow(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> tuple
 
     for _ in range(s.epochs):
         for label, index, value in rows:
-            k, x = np.append(index, size - 1), np.append(value, 1.0)
+            k, x = np.append(index.astype(np.int64), size - 1), np.append(value.astype(float), 1.0)
             w = weights(k)
             g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
             z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / s.alpha * w
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
         held = []
         for batch in batches:
             for label, index, value in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                held.append((label, index.values.to_numpy().astype(np.int64), value.values.to_numpy().astype(float)))
+                held.append((label, index.values.to_numpy().copy(), value.values.to_numpy().copy()))
         weights, bias = follow(held, s)
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(weights[used], bias).astype(float))], ["k", "w"])
