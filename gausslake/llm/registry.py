@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .licenses import op4_licenses
 from .neighbours import op5_neighbours
+from .packing import op8_packing
 from .pages import op2_main_text
 from .paragraphs import op3_paragraphs
 from .quality import op9_quality
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_neighbours": op5_neighbours,
     "op6_repeats": op6_repeats,
+    "op7_decontamination": op7_decontamination,
+    "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, longs
+from .common import checkpointed, column, longs, portions
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 S29, S32 = np.uint64(29), np.uint64(32)
 #: Bytes that a worker refines at once, and different runs of one bucket that one task compares.
-SEGMENT, CROWD = 1 << 20, 4096
+SEGMENT, CROWD = 1 << 19, 4096
+#: Bytes of texts among which equal runs are combined before the shuffle.
+COMBINE = 1 << 23
 RUN = "kind int, key long, ctx long, tid long, lo long, hi long, at long, done boolean"
 SPAN = "kind int, key long, tid long, lo long, hi long, at long, need boolean"
 
@@ -155,7 +157,7 @@ def _find(length: int):
     """Runs of each batch of texts, one of each kind; spans of kinds that the batch already holds twice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", COMBINE):
             found: list[tuple[np.ndarray, ...]] = []
             texts, tids = column(batch, "text").to_pylist(), longs(batch, "tid").tolist()
             for data, starts, own, base in segments(texts, tids, length):
@@ -232,7 +234,7 @@ def _cut(length: int):
     names = ["key", "tid", "lo", "hi", "need", "bytes"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", COMBINE):
             out: list[tuple] = []
             for text, tid, wanted in zip(column(batch, "text").to_pylist(), longs(batch, "tid").tolist(), column(batch, "wanted").to_pylist(), strict=True):
                 out += [(w["key"], tid, w["lo"], w["hi"], w["need"], text[w["lo"] : w["hi"] + length]) for w in wanted]
@@ -343,7 +345,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     joined = rows.join(spans, "tid", "left").select("__id", "text", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", COMBINE):
             sizes, merged, kept = [], [], []
             for own, some in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 sizes.append(len(own))

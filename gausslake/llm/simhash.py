@@ -42,8 +42,9 @@ def _shingle_hashes(raw: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(text[lo:hi], 42) for lo, hi in spans], dtype=np.uint64)
 
 
-def _majority(texts: list[bytes | None], words: int) -> np.ndarray:
-    """The fingerprint of each text as uint64."""
+def _majority(texts: list[bytes | None], words: int, sketch: int = 0) -> tuple[np.ndarray, list[bytes]]:
+    """The fingerprint of each text as uint64, and its `sketch` least different hashes (upper halves) in order."""
+    least = [np.zeros(0, np.uint32) for _ in texts] if sketch else []
     counts = np.zeros((len(texts), 64), dtype=np.int64)
     total = np.zeros(len(texts), dtype=np.int64)
     held: list[np.ndarray] = []
@@ -66,6 +67,8 @@ def _majority(texts: list[bytes | None], words: int) -> np.ndarray:
     size = 0
     for i, raw in enumerate(texts):
         for hashes in _shingle_hashes(raw or b"", words):
+            if sketch:
+                least[i] = np.union1d(least[i], (hashes >> np.uint64(32)).astype(np.uint32))[:sketch]
             held.append(hashes)
             of.append(i)
             total[i] += len(hashes)
@@ -75,26 +78,29 @@ def _majority(texts: list[bytes | None], words: int) -> np.ndarray:
                 size = 0
     flush()
     ones = counts * 2 > total[:, None]
-    return np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel(), [x.tobytes() for x in least]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of `docs` (default doc_id) with `fp`, the 64-bit fingerprint as a signed long.
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, keep: list[str] | None = None, sketch: int = 0) -> DataFrame:
+    """`keep` columns of `docs` (default doc_id) with `fp`, the 64-bit fingerprint as a signed long, and, if `sketch`
+    is not 0, a binary column of that name with so many least shingle hashes.
 
     Words are split at ASCII white space after lower-casing A-Z; shingles of `words` words count as often as they
     occur. A null or empty text, or one without words, has fingerprint 0. Every row of `docs` gives one row.
     """
     keep = keep or ["doc_id"]
     source = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    names = ["fp", "sketch"] if sketch else ["fp"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fp = _majority(batch.column(len(keep)).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fp.view(np.int64))], [*keep, "fp"])
+                fp, least = _majority(batch.column(len(keep)).to_pylist(), words, sketch)
+                made = [pa.array(fp.view(np.int64)), *([pa.array(least, pa.binary())] if sketch else [])]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return source.mapInArrow(work, f"{fields}, fp long")
+    return source.mapInArrow(work, f"{fields}, fp long" + ", sketch binary" * bool(sketch))
 
 
 def masks(n: int, distance: int, per_bucket: int = 4096) -> list[int]:
@@ -107,6 +113,15 @@ def masks(n: int, distance: int, per_bucket: int = 4096) -> list[int]:
     return chosen
 
 
+def sampled_masks(n: int, sure: int = 10, miss: float = 0.02, seed: int = 42) -> list[int]:
+    """Masks of random bits, about as many as tell `n` rows apart (12 at least), and so many masks that a pair `sure`
+    bits apart agrees in none of them with probability `miss` at most, whatever `n`."""
+    bits = max(12, round(np.log2(max(n, 1))) - 3)
+    alike = np.prod([(64 - sure - i) / (64 - i) for i in range(bits)])
+    random = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in random.choice(64, bits, replace=False)) for _ in range(int(np.ceil(np.log(miss) / np.log1p(-alike))))]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -123,9 +138,17 @@ def _levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def forest(fps: np.ndarray, distance: int) -> np.ndarray:
-    """Component labels (index of one member each) of Gray-sorted distinct fingerprints linked within `distance`."""
+def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels (index of one member each) of Gray-sorted fingerprints linked within `distance`, and the
+    nearest linked member of each (-1: none; ties to the lowest index)."""
     n, labels = len(fps), np.arange(len(fps))
+    nearest = np.full(n, 65 << 32, np.int64)
+    if n <= LEAF:
+        apart = np.bitwise_count(fps[:, None] ^ fps[None]).astype(np.int64)
+        u, v = np.nonzero(np.triu(apart <= distance, 1))
+        np.fill_diagonal(apart, 65)
+        at = apart.argmin(1)
+        return merge_labels(labels, u, v), np.where(apart[labels, at] <= distance, at, -1)
     levels = _levels(fps)
     top = np.arange(len(levels[-1][0]))
     x, y = (z.ravel() for z in np.meshgrid(top, top, indexing="ij"))
@@ -146,30 +169,36 @@ def forest(fps: np.ndarray, distance: int) -> np.ndarray:
     order = np.argsort(y - x, kind="stable")
     for at in range(0, len(x), 512):
         i, j = x[order[at : at + 512]], y[order[at : at + 512]]
-        k, p, q = np.nonzero(np.bitwise_count(padded[i][:, :, None] ^ padded[j][:, None, :]) <= distance)
-        u, v = i[k] * LEAF + p, j[k] * LEAF + q
+        apart = np.bitwise_count(padded[i][:, :, None] ^ padded[j][:, None, :])
+        k, p, q = np.nonzero(apart <= distance)
+        u, v, d = i[k] * LEAF + p, j[k] * LEAF + q, apart[k, p, q].astype(np.int64) << 32
         good = (u < v) & (v < n)
-        labels = merge_labels(labels, u[good], v[good])
-    return labels
+        u, v, d = u[good], v[good], d[good]
+        np.minimum.at(nearest, u, d | v)
+        np.minimum.at(nearest, v, d | u)
+        labels = merge_labels(labels, u, v)
+    return labels, np.where(nearest >> 32 <= distance, nearest & 0xFFFFFFFF, -1)
 
 
-def links(fps: DataFrame, distance: int = 4, most: int = 16_384) -> DataFrame:
-    """A spanning set of links (a, b) between the distinct longs of `fps.fp` that differ in at most `distance` bits.
+def links(fps: DataFrame, distance: int = 4, most: int = 16_384, tables: list[int] | None = None, nearest: bool = False) -> DataFrame:
+    """Links (a, b) between nodes of `fps` (columns node, fp) whose fingerprints differ in at most `distance` bits.
 
-    `fps` holds each fingerprint once. Every linked pair is in one component of the result; a bucket of more than
-    `most` rows is dealt out as pairs of blocks, each compared in a task of its own, so none grows without bound.
+    With the masks of `masks`, which are the default, every linked pair is in one component of the result; other
+    `tables` find a pair if it agrees in all bits of one of them. Each bucket gives a spanning forest and, if asked,
+    each member's `nearest`. A bucket of more than `most` rows is dealt out as pairs of blocks, each compared in a
+    task of its own, so none grows without bound.
     """
-    n = fps.count()
-    cells = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks(n, distance))]))
-    rows = fps.select("fp", cells.alias("c")).select("fp", "c.t", "c.k")
+    tables = masks(fps.count(), distance) if tables is None else tables
+    cells = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(tables)]))
+    rows = fps.select("node", "fp", cells.alias("c")).select("node", "fp", "c.t", "c.k")
     crowded = checkpointed(rows.groupBy("t", "k").count().where(F.col("count") > most).select("t", "k", F.ceil(F.col("count") / most).cast("int").alias("blocks")))
     if crowded.isEmpty():
         rows = rows.select("*", F.lit(0).alias("p"))
     else:
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
         rows = rows.join(crowded, ["t", "k"], "left").withColumn("block", block)
-        rows = rows.select("fp", "t", "k", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("p"))
+        rows = rows.select("node", "fp", "t", "k", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("p"))
     gray = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, shift))
@@ -182,20 +211,25 @@ def links(fps: DataFrame, distance: int = 4, most: int = 16_384) -> DataFrame:
         for group in sorted_groups(batches, ["t", "k", "p"]):
             if group.num_rows < 2:
                 continue
-            own = group.column("fp").to_numpy()
-            labels = forest(own.view(np.uint64), distance)
+            own = group.column("node").to_numpy()
+            labels, near = forest(group.column("fp").to_numpy().view(np.uint64), distance)
             moved = np.flatnonzero(labels != np.arange(len(own)))
-            if len(moved):
-                a.append(own[moved])
-                b.append(own[labels[moved]])
-                held += len(moved)
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                    a, b, held = [], [], 0
+            if not len(moved):
+                continue
+            a.append(own[moved])
+            b.append(own[labels[moved]])
+            if nearest:
+                some = np.flatnonzero(near >= 0)
+                a.append(own[some])
+                b.append(own[near[some]])
+            held += len(moved)
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a, b, held = [], [], 0
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return keyed(rows, ["t", "k", "p"], ["gray"], work, "a long, b long")
+    return keyed(rows, ["t", "k", "p"], ["gray", "node"], work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
@@ -206,13 +240,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     """
     fp = checkpointed(fingerprints(docs.select(F.col(id).alias("__id"), F.col(text).alias("__body")), "__body", words, ["__id"]))
     owners = fp.groupBy("fp").agg(F.min("__id").alias("least"))
-    nodes = components(links(owners.select("fp"), distance))
+    nodes = components(links(owners.select(F.col("fp").alias("node"), "fp"), distance))
     grouped = owners.join(nodes, owners["fp"] == nodes["node"], "left").select(owners["fp"], "least", F.coalesce("component", owners["fp"]).alias("component"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     label = grouped.select("fp", "component").join(named, "component").select("fp", "component_id")
     return fp.join(label, "fp").select(F.col("__id").alias(id), "fp", "component_id")
 
 
+def _estimate(a: bytes, b: bytes, k: int) -> float:
+    """Jaccard similarity from the `k` least hashes of two sets; exact for sets that have no more. Two empty ones are alike."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)[:k]
+    return np.isin(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True).sum() / len(both) if len(both) else 1.0
+
+
+def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, similar: float = 0.8, distance: int = 12, sketch: int = 256) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates: that of the smallest id (null ids come last).
+
+    Fingerprints of `words`-word shingles that differ in at most `distance` bits make candidates: sampled bits deal
+    them to buckets (a pair 10 bits apart meets in one with probability 0.98, a nearer one more surely), and the
+    Gray-order index finds each member's nearest and a spanning forest. A candidate is a link if the Jaccard
+    similarity of the shingle sets is `similar` or more, estimated from their `sketch` least hashes. Equal texts are
+    one node. Empty texts are equal to each other. Equal rows count as one.
+    """
+    key = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).withColumn("__node", F.xxhash64(text))
+    made = checkpointed(fingerprints(key.select(F.col(id).alias("id"), "__row", "__node", F.col(text).alias("body")), "body", words, ["id", "__row", "__node"], sketch))
+    nodes = made.groupBy(F.col("__node").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    found = links(nodes.select("node", "fp"), distance, tables=sampled_masks(made.count()), nearest=True)
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketches = nodes.select("node", "sketch")
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [_estimate(x, y, sketch) >= similar for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    same = components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    grouped = made.join(same, made["__node"] == same["node"], "left").select("id", "__row", F.coalesce("component", "__node").alias("group"))
+    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("best"))
+    stay = best.select(F.col("best.__row").alias("__row"))
+    return key.drop("__node").join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, 4 differing bits."""
     from .common import table
