@@ -29,6 +29,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that Spark hands to a Python worker at once; texts are long, so this is less than Spark's own default.
+ARROW_ROWS = 2000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """`df`, in a session that hands at most ARROW_ROWS rows to a Python worker at once, which bounds its memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > ARROW_ROWS or int(conf.get(name)) <= 0:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """One column of an Arrow batch by name."""
     return batch.column(batch.schema.get_field_index(name))
@@ -137,6 +149,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], work: Callable[[list], l
     The text goes back to Spark only if it is among `keep`. A clash between `keep` and `fields` is an error of the caller.
     """
     inside = text in keep
+    lean(df)
     source = df.select(*keep) if inside else df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     at = keep.index(text) if inside else len(keep)
     names = [*keep, *(f for f, _ in fields)]

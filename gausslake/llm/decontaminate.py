@@ -47,7 +47,7 @@ class WordHasher(dict):
     """Word to its 64-bit hash; forgets everything beyond a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 13) | 1
         if len(word) <= 64:
@@ -227,8 +227,8 @@ def _blocks(benchmark: DataFrame, text: str, id: str, s: Settings) -> list[Items
     return [b for b in (Items(p, s) for p in parts) if len(b.ids)]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_text: str = "text", item_id: str = "item_id", settings: Settings = Settings()) -> DataFrame:
-    """`keep` columns of `docs` (default doc_id) with `matches`, an array of (item_id, edits, last_word, n_words).
+def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_text: str = "text", item_id: str = "item_id", settings: Settings = Settings(), name: str = "matches") -> DataFrame:
+    """`keep` columns of `docs` (default doc_id) with `name`, an array of (item_id, edits, last_word, n_words).
 
     One entry for each item that stands in the text with at most the permitted edits. Null and empty texts, and an
     empty benchmark, give empty arrays. Every row keeps its row.
@@ -243,13 +243,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
                 own += more
         return [pa.array(out, pa.list_(MATCH))]
 
-    return map_text(docs, text, keep, work, [("matches", "array<struct<item_id:long,edits:long,last_word:long,n_words:long>>")])
+    return map_text(docs, text, keep, work, [(name, "array<struct<item_id:long,edits:long,last_word:long,n_words:long>>")])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of `docs` in whose text no item stands; all columns, no shuffle."""
-    kept = matches(docs, benchmark, docs.columns, text, settings=settings)
-    return kept.where(F.size("matches") == 0).drop("matches")
+    kept = matches(docs, benchmark, docs.columns, text, settings=settings, name="__matches")
+    return kept.where(F.size("__matches") == 0).drop("__matches")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def template_grams(spark, k: int, templates: list[tuple[str, str]]) -> DataFrame
 def scan(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = 3, share: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per row of `docs`: `id`, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    A template of 20 k-grams and more counts from `share` of them on, a shorter one if all are there.
+    A template of 15 k-grams and more counts from `share` of them on, a shorter one if all are there.
     `score` is the largest share of a template's k-grams found on one merged diagonal, 1 where a base phrase stands.
     `spans` lists (label, first word, last word, matched share) of the verified template spans. Null and empty texts
     have no words, null places, empty labels and score 0. Rows with equal ids each keep their own row.
@@ -182,7 +182,7 @@ def _vote(read: DataFrame, table: DataFrame, names, k: int, share: float) -> Dat
     spans = spans.withColumn("label", F.element_at(names, F.col("template") + 1))
     per = spans.groupBy("__row").agg(
         F.max("part").alias("part"),
-        F.array_sort(F.collect_list(F.when(F.col("part") >= F.when(F.col("grams") < 20, 1.0).otherwise(share), F.struct("label", F.col("lo").alias("first"), (F.col("hi") + k - 1).alias("last"), F.col("part").alias("share"))))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("part") >= F.when(F.col("grams") < 15, 1.0).otherwise(share), F.struct("label", F.col("lo").alias("first"), (F.col("hi") + k - 1).alias("last"), F.col("part").alias("share"))))).alias("spans"),
     )
     base = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
     spans_or = F.coalesce("spans", F.array().cast("array<struct<label:string,first:bigint,last:bigint,share:double>>"))

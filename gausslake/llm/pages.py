@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_text
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, CDATA, declarations, elements; an element whose quotes don't close ends at the first bracket.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 MARKED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -30,6 +31,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 BOILERPLATE = frozenset("nav footer aside form button menu dialog fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BAD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar aside menu nav navigation navbar breadcrumb breadcrumbs footer masthead comment comments disqus reply replies discussion respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager copyright legal disclaimer widget skip complementary contentinfo search".split())
+BAD_STARTS = ("advert", "adsense", "adbox", "adslot", "sponsor", "comment", "cookie", "newsletter", "sidebar", "navbar", "navig", "footer", "promo", "banner", "breadcrumb", "popup", "discuss", "subscri", "copyright")
 GOOD = frozenset("article content post entry story main body text".split())
 
 
@@ -52,8 +54,9 @@ def _attributes(written: str, tag: str, inside_article: bool) -> tuple[int, int,
                 hidden = True
             elif name in ("class", "id", "role"):
                 words = set(NAME.findall(value))
-                bad += bool(words & BAD)
-                good += bool(words & GOOD) and not words & BAD
+                not_article = bool(words & BAD) or any(w.startswith(BAD_STARTS) for w in words) or ("header" in words and not words & GOOD)
+                bad += not_article
+                good += bool(words & GOOD) and not not_article
     return bad, good, hidden
 
 
@@ -96,13 +99,15 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if found.start() > at:
             add(page[at : found.start()])
         at = found.end()
-        tag = found[2]
+        closing, tag, written = found[1], found[2], found[3]
+        if tag is None and found[5] is not None:
+            closing, tag, written = found[4], found[5], found[6]
         if tag is None:
             if found[0].startswith("<![CDATA["):
                 add(found[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = tag.lower()
-        if found[1]:
+        if closing:
             if tag == "br":
                 add(" ")
                 continue
@@ -121,17 +126,17 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         else:
             end()
             if tag in CLOSES_P or tag in ("li", "tr", "td", "th", "dt", "dd"):
-                closing = "p" if tag in CLOSES_P else tag
+                ends = "p" if tag in CLOSES_P else tag
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == closing:
+                    if stack[k][0] == ends:
                         del stack[k:]
                         break
                     if stack[k][0] not in INLINE and stack[k][0] != "p":
                         break
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID or written.endswith("/"):
             continue
         top = stack[-1]
-        bad, good, hidden = _attributes(found[3], tag, top[3] > 0)
+        bad, good, hidden = _attributes(written, tag, top[3] > 0)
         if tag in RAW:
             if lower is None:
                 lower = page.lower()

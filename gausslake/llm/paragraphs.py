@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, components, keyed, longs, merge_labels, pieces, sorted_groups
+from .common import checkpointed, column, components, keyed, lean, longs, merge_labels, pieces, sorted_groups
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,7 +46,7 @@ class WordHasher(dict):
     """Word (bytes) to its 64-bit hash; forgets everything beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word, 11)
         if len(word) <= 64:
@@ -247,7 +247,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings:
     paragraphs; an empty table gives no rows.
     """
     s = settings
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
+    rows = lean(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
     found = checkpointed(places(rows, s))
     same = components(links(rows, found, s))
     named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "line", F.coalesce("component", "paragraph").alias("cluster"))
@@ -258,18 +258,18 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings:
     return named.join(first, "cluster").select(F.col("id").alias(id), "row", "line", "cluster", "copies", kept.alias("kept"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """`docs` with every repeated paragraph taken out of `text` but in the place that stays, and `n_removed` lines.
+def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), count: str = "n_removed") -> DataFrame:
+    """`docs` with every repeated paragraph taken out of `text` but in the place that stays, and `count` of lines gone.
 
-    Texts without such a paragraph stay as they are, byte for byte; null texts stay null.
+    Texts without such a paragraph stay as they are, byte for byte; null texts stay null. Other columns are untouched.
     """
-    gone = repeated(docs, text, id, settings).where("not kept").groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("__gone"))
-    own = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text)))
-    joined = own.join(gone, own["__row"] == gone["row"], "left").drop("row", "__row")
+    found = repeated(docs, text, id, settings).where("not kept")
+    gone = found.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_set("line")).alias("__gone"))
+    joined = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).join(gone, "__row", "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
     changed = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    return joined.withColumn(text, changed).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0))).drop("__gone")
+    return joined.withColumns({text: changed, count: F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))}).drop("__gone", "__row")
 
 
 def op3_paragraphs(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import column, map_text
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 PAIR, TRIPLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -67,6 +67,7 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(64 - bits)
     found = TOKEN.finditer(text)
     index, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # the two tokens before a triple, and the one that tells whether the first of them is a repeat
     tail = np.zeros((0, 2), np.uint64)
     while tokens := [m[0] for m in islice(found, CHUNK)]:
         both = np.concatenate((tail, np.array([HASHED[t] for t in tokens], dtype=np.uint64)))
@@ -82,7 +83,7 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
             merged, at = np.unique(np.concatenate((index, k)), return_inverse=True)
             k, n = merged, np.bincount(at, weights=np.concatenate((count, n))).astype(np.int64)
         index, count = k, n
-        tail = both[-2:]
+        tail = both[-3:]
     return index, count / max(np.sqrt((count.astype(float) ** 2).sum()), 1.0)
 
 
@@ -122,25 +123,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     marked = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label")).where(~held_out("__id"))
     own = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
     ids = own.where("__text is not null").select("__id").join(marked, "__id").orderBy(F.xxhash64("__id"), "__id", "__label").limit(s.sample)
-    chosen = own.where("__text is not null").join(F.broadcast(ids), "__id")
+    chosen = own.where("__text is not null").join(F.broadcast(ids), "__id").withColumn("__tie", F.xxhash64("__text"))
 
     def work(texts: list[str]) -> list[pa.Array]:
         made = [features(t, s.bits) for t in texts]
         return [pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))]
 
-    rows = map_text(chosen, "__text", ["__id", "__label"], work, [("index", "array<int>"), ("value", "array<float>")])
+    rows = map_text(chosen, "__text", ["__id", "__label", "__tie"], work, [("index", "array<int>"), ("value", "array<float>")])
     rows = rows.select(F.xxhash64("__id").alias("h"), "*")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            for label, index, value in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for label, index, value in zip(column(batch, "__label").to_pylist(), column(batch, "index"), column(batch, "value"), strict=True):
                 held.append((label, index.values.to_numpy().copy(), value.values.to_numpy().copy()))
         weights, bias = follow(held, s)
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(weights[used], bias).astype(float))], ["k", "w"])
 
-    learned = rows.repartition(1).sortWithinPartitions("h", "__id", "__label").mapInArrow(train, "k long, w double").collect()
+    learned = rows.repartition(1).sortWithinPartitions("h", "__id", "__label", "__tie").mapInArrow(train, "k long, w double").collect()
     weights, bias = np.zeros(1 << s.bits, np.float32), 0.0
     for k, w in learned:
         if k < 0:
@@ -150,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     return weights, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None, settings: Settings = Settings()) -> DataFrame:
-    """`keep` columns (default doc_id) with score (0 to 1) and predicted (1 if score >= threshold).
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: list[str] | None = None, settings: Settings = Settings(), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`keep` columns (default doc_id) with score (0 to 1) and predicted (1 if score >= threshold), under `names`.
 
     Whole texts are scored; a null or empty text has the score of the bias alone. Every row keeps its row.
     """
@@ -166,8 +167,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
             out.append(1.0 / (1.0 + float(np.exp(-np.clip(bias + weights[index] @ value, -35, 35)))))
         return [pa.array(out, pa.float64())]
 
-    found = map_text(docs, text, keep or ["doc_id"], work, [("score", "double")])
-    return found.withColumn("predicted", (F.col("score") >= settings.threshold).cast("int"))
+    found = map_text(docs, text, keep or ["doc_id"], work, [(names[0], "double")])
+    return found.withColumn(names[1], (F.col(names[0]) >= settings.threshold).cast("int"))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, longs, portions
+from .common import checkpointed, column, lean, longs, portions
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 S29, S32 = np.uint64(29), np.uint64(32)
@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     Texts are UTF-8 bytes; a null text is empty. Strings are judged on the input, overlaps count, matches never cross
     texts. Repeated rows hold each other's strings and lose them. Null ids keep their rows.
     """
-    rows = docs.select(F.col(id).alias("__id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    rows = lean(docs).select(F.col(id).alias("__id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")).withColumn("tid", F.xxhash64("text"))
     spans = repeated_spans(rows.where(F.octet_length("text") >= length).select("tid", "text"), length)
     joined = rows.join(spans, "tid", "left").select("__id", "text", "spans")
 

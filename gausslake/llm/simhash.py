@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, keyed, merge_labels, sorted_groups
+from .common import checkpointed, components, keyed, lean, merge_labels, sorted_groups
 
 LEAF, FAN = 32, 8
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, keep: list
     occur. A null or empty text, or one without words, has fingerprint 0. Every row of `docs` gives one row.
     """
     keep = keep or ["doc_id"]
-    source = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    source = lean(docs).select(*keep, F.col(text).cast("binary").alias("__text"))
     names = ["fp", "sketch"] if sketch else ["fp"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
