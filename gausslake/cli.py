@@ -6,6 +6,7 @@ import argparse
 import sys
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .operators.register import merge, register
@@ -68,8 +69,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         out, _ = merge([load_ply(spark, f) for f in args.inputs], transform=args.transform, init=args.init, dedupe=not args.no_dedupe, dedupe_method=args.dedupe_method, voxel=args.voxel, max_iters=args.max_iters, quality=args.quality)
         print(f"rows: {save_ply(out, args.output)}")
         return 0
-    except (ValueError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (ValueError, OSError, PySparkException) as e:
+        print(f"error: {str(e).strip().splitlines()[-1]}", file=sys.stderr)
         return 2
 
 

@@ -10,6 +10,7 @@ import math
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..model import finite, step_sample
 
 CELL = ("cx", "cy", "cz")
+#: Anchors that may be sent to all tasks, and queries that are then compared with all of them.
+FEW_ANCHORS, FEW_QUERIES = 10_000, 1_000_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -58,8 +61,56 @@ def _squared() -> Column:
     return x * x + y * y + z * z
 
 
+def _few(queries: DataFrame, anchors: DataFrame, ids: tuple[str, str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, places) of the anchors if they are few enough to be sent to all tasks, and the queries few enough, too."""
+    if any(df.schema[i].dataType.typeName() != "long" for df, i in zip((queries, anchors), ids, strict=True)):
+        return None
+    own = finite(anchors).select(ids[1], "x", "y", "z").limit(FEW_ANCHORS + 1).toPandas()
+    if len(own) > FEW_ANCHORS or queries.limit(FEW_QUERIES + 1).count() > FEW_QUERIES:
+        return None
+    own = own.sort_values(ids[1])
+    return own[ids[1]].to_numpy(np.int64), own[["x", "y", "z"]].to_numpy(float)
+
+
+def _compared(queries: DataFrame, few: tuple[np.ndarray, np.ndarray], id: str, pick, names: str) -> DataFrame:
+    """Rows that `pick` takes from the distances of blocks of queries to all of a few anchors."""
+    shared = queries.sparkSession.sparkContext.broadcast(few)
+    fields = [n.split()[0] for n in names.split(", ")]
+
+    def work(batches):
+        ids, places = shared.value
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for batch in batches:
+            q, p = batch.column(0).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)], 1)
+            for lo in range(0, len(q), step):
+                x, y, z = (p[lo : lo + step, i, None] - places[None, :, i] for i in range(3))
+                rows = pick(q[lo : lo + step], ids, np.sqrt(x * x + y * y + z * z))
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], fields)
+
+    return finite(queries).select(id, "x", "y", "z").mapInArrow(work, names)
+
+
 def radius_join(queries: DataFrame, anchors: DataFrame, radius: float, ids: tuple[str, str] = ("gid", "gid"), other: bool = False) -> DataFrame:
-    """(q, a, d): pairs at a distance of `radius` or less. `other` leaves out pairs with the same id."""
+    """(q, a, d): pairs at a distance of `radius` or less. `other` leaves out pairs with the same id.
+
+    Few anchors go to all tasks; otherwise both sides meet by grid cell.
+    """
+    few = _few(queries, anchors, ids)
+    if few is not None:
+
+        def pick(q, a, d):
+            good = d <= radius
+            if other:
+                good &= q[:, None] != a[None]
+            i, j = np.nonzero(good)
+            return q[i], a[j], d[i, j]
+
+        return _compared(queries, few, ids[0], pick, "q long, a long, d double")
+    return grid_radius_join(queries, anchors, radius, ids, other)
+
+
+def grid_radius_join(queries: DataFrame, anchors: DataFrame, radius: float, ids: tuple[str, str] = ("gid", "gid"), other: bool = False) -> DataFrame:
+    """`radius_join` by grid cells, whatever the sizes."""
     found = _pairs(queries, anchors, radius, ids).withColumn("d", F.sqrt(_squared())).where(F.col("d") <= float(radius))
     return (found.where("q <> a") if other else found).select("q", "a", "d")
 
@@ -75,6 +126,30 @@ def extent(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 def knn_join(queries: DataFrame, anchors: DataFrame, k: int, ids: tuple[str, str] = ("gid", "gid"), other: bool = False) -> DataFrame:
     """(q, a, d, rank): the `k` nearest anchors of each query, nearest first, or all if there are fewer.
 
+    Few anchors go to all tasks; otherwise rounds of grid joins find them.
+    """
+    few = _few(queries, anchors, ids)
+    if few is not None and len(few[0]):
+
+        def pick(q, a, d):
+            if other:
+                d = np.where(q[:, None] == a[None], np.inf, d)
+            most = min(k, len(a))
+            cut = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+            i, j = np.nonzero((d <= cut) & np.isfinite(d))
+            order = np.lexsort((a[j], d[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = rank < k
+            return q[i[keep]], a[j[keep]], d[i[keep], j[keep]], (rank[keep] + 1).astype(np.int32)
+
+        return _compared(queries, few, ids[0], pick, "q long, a long, d double, rank int")
+    return grid_knn_join(queries, anchors, k, ids, other)
+
+
+def grid_knn_join(queries: DataFrame, anchors: DataFrame, k: int, ids: tuple[str, str] = ("gid", "gid"), other: bool = False) -> DataFrame:
+    """`knn_join` by rounds of grid joins, whatever the sizes.
+
     The search radius starts at that of an even spread of anchors and doubles; a round keeps only the queries that
     have not found `k` within it. The rounds end when the radius spans everything, so the result is exact.
     """
@@ -91,7 +166,7 @@ def knn_join(queries: DataFrame, anchors: DataFrame, k: int, ids: tuple[str, str
     anchors = anchors.select(F.col(ids[1]).alias("a"), "x", "y", "z")
     out = None
     while True:
-        near = radius_join(rest, anchors, radius, ("q", "a"), other)
+        near = grid_radius_join(rest, anchors, radius, ("q", "a"), other)
         best = near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "a"))).where(F.col("rank") <= k)
         last = radius >= span
         if last and out is None:

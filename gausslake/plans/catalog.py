@@ -180,6 +180,19 @@ def radius_pairs(spark, sf_dir):
     return _rounded(spatial.radius_join(e, e, RADIUS), ["d"])
 
 
+@query(f"with {SQL_E} select q.gid as q, a.gid as a, {sql_r6(sql_d('q', 'a'), 'd')} from e q, e a where {sql_d('q', 'a')} <= {RADIUS!r}")
+def grid_radius_pairs(spark, sf_dir):
+    """The same by grid cells, as for tables of any size."""
+    e = splats(spark, sf_dir)
+    return _rounded(spatial.grid_radius_join(e, e, RADIUS), ["d"])
+
+
+@query(f"with {SQL_AB} select q, a, rank, {sql_r6('d', 'd')} from (select q.gid as q, a.gid as a, {sql_d('q', 'a')} as d, row_number() over (partition by q.gid order by {sql_d('q', 'a')}, a.gid)::integer as rank from a q, b a) where rank <= 3")
+def grid_knn(spark, sf_dir):
+    """The three nearest rows of B for each row of A by rounds of grid joins."""
+    return _rounded(spatial.grid_knn_join(*halves(spark, sf_dir), 3), ["d"]).select("q", "a", "rank", "d")
+
+
 @query(f"with {SQL_E} select q, a, rank, {sql_r6('d', 'd')} from (select q.gid as q, a.gid as a, {sql_d('q', 'a')} as d, row_number() over (partition by q.gid order by {sql_d('q', 'a')}, a.gid)::integer as rank from e q, e a) where rank <= 5")
 def knn_k(spark, sf_dir):
     """The five nearest of each row."""
