@@ -1,0 +1,21 @@
+"""Spark-native queries over tables of 3-D Gaussians."""
+
+from .functions.harmonics import rotate as rotate_sh
+from .functions.harmonics import rotation_matrix as sh_rotation_matrix
+from .model import from_arrays, from_gsplat, to_arrays, to_gsplat
+from .operators.bundle import bundle_register, pairwise_consistency, solve_pose_graph
+from .operators.camera import coarse_localize_camera
+from .operators.field import estimate_anchor_normals, gaussian_sdf, gaussian_sdf_grad
+from .operators.fuse import auto_knn_radius, auto_voxel_size, knn_dedupe, knn_dedupe_report, voxel_dedupe, voxel_dedupe_report
+from .operators.metrics import add_auc, add_metric, adds_metric
+from .operators.photometric import CameraPhotometric, Photometric, SplatPhotometric, camera_ring, localize_camera, refine_photometric
+from .operators.register import ObjectPoseEstimator, Tracker, estimate_object_pose, make_track_residuals, merge, register, track
+from .operators.rigidity import mac_feature_align, mac_pose
+from .operators.solve import ICP, SDF, LevenbergMarquardt, Prior, RegisterResult, Residual, run_lm
+from .operators.spatial import SpatialIndex, build_index
+from .operators.transform import apply_transform, union_splats
+from .plans.quality import QualityConfig, resolve_quality
+from .sources.ply import load_ply, load_plys, save_ply
+
+__version__ = "0.1.0"
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("functions", "model", "operators", "plans", "sources", "streaming")]

@@ -100,3 +100,30 @@ def pose_error(estimate: np.ndarray, truth: np.ndarray) -> dict[str, float]:
     s = lie.scale_of(d)
     angle = np.degrees(np.linalg.norm(lie.so3_log(lie.so3_project(d[:3, :3] / s))))
     return {"rotation_deg": float(angle), "translation": float(np.linalg.norm(estimate[:3, 3] - truth[:3, 3])), "scale": abs(s - 1)}
+
+
+def weighted_pose_error(estimate: np.ndarray, truth: np.ndarray, information: np.ndarray) -> float:
+    """Squared error of a relative pose, weighted by its information matrix over that of translations along x."""
+    d = lie.inverse(truth) @ estimate
+    w, x, y, z = lie.matrix_to_quat(lie.so3_project(d[:3, :3]))
+    e = np.concatenate((d[:3, 3], [-x, -y, -z]))
+    return float(e @ information @ e / information[0, 0])
+
+
+def registration_recall(errors: DataFrame, largest: float = 0.2, scene: str = "scene", error: str = "error") -> DataFrame:
+    """One row: the share of pairs whose weighted error is at most `largest` squared, as the mean over scenes and pooled.
+
+    Pairs without an estimate (null error) count as missed.
+    """
+    hit = F.coalesce((F.col(error) <= largest * largest).cast("double"), F.lit(0.0))
+    by = errors.groupBy(scene).agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
+    return by.agg(F.avg(F.col("hits") / F.col("n")).alias("mean_of_scenes"), (F.sum("hits") / F.sum("n")).alias("pooled"))
+
+
+def rotation_translation_errors(pairs: DataFrame, estimate: str = "estimate", truth: str = "truth") -> DataFrame:
+    """`pairs` with rre (degrees) and rte of two row-major 4 x 4 poses; column expressions only."""
+    e, t = F.col(estimate), F.col(truth)
+    trace = sum((e[4 * r + c] * t[4 * r + c] for r in range(3) for c in range(3)), F.lit(0.0))
+    angle = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (trace - 1) / 2))))
+    apart = sum(((e[4 * r + 3] - t[4 * r + 3]) * (e[4 * r + 3] - t[4 * r + 3]) for r in range(3)), F.lit(0.0))
+    return pairs.withColumns({"rre": angle, "rte": F.sqrt(apart)})

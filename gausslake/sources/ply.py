@@ -194,3 +194,61 @@ def save_ply(df: DataFrame, path: str) -> int:
                 held = []
         f.write(np.array(held, kind).tobytes())
     return int(facts[0])
+
+
+def parse_splats(content: bytes) -> dict[str, np.ndarray]:
+    """Canonical columns of one whole splat file (binary or ASCII) as arrays."""
+    end = content.index(b"end_header")
+    end = content.index(b"\n", end) + 1
+    form, count, fields, skip = parse_header([x.strip() for x in content[:end].decode("ascii", "replace").splitlines() if x.strip() != "end_header"])
+    if form == "ascii":
+        body = content[end:].split(b"\n", count)[:count]
+        table = np.array([tuple(x.split()) for x in body], dtype=fields)
+    else:
+        order = ">" if form == "binary_big_endian" else "<"
+        kind = np.dtype([(n, order + t) for n, t in fields])
+        table = np.frombuffer(content, kind, count, end + skip)
+    names = [n for n, _ in fields]
+    missing = [c for c in REQUIRED if c not in names]
+    if missing:
+        raise ValueError(f"the file lacks {', '.join(missing)}")
+    out = {c: table[c].astype(float) for c in (*POSITION, "opacity")}
+    out |= {c: table[f"scale_{i}"].astype(float) for i, c in enumerate(SCALE)} | {c: table[f"rot_{i}"].astype(float) for i, c in enumerate(ROTATION)}
+    first = np.stack([table[f"f_dc_{i}"].astype(float) if f"f_dc_{i}" in names else np.zeros(count) for i in range(3)], 1)[:, None]
+    rest = sorted((n for n in names if n.startswith("f_rest_")), key=lambda n: int(n[7:]))
+    if len(rest) % 3:
+        raise ValueError(f"{len(rest)} further coefficients are no multiple of 3")
+    if rest:
+        more = np.stack([table[n].astype(float) for n in rest], 1).reshape(count, 3, -1).transpose(0, 2, 1)
+        out["colors"] = np.concatenate((first, more), 1)
+    else:
+        out["colors"] = first * 0.28209479177387814 + 0.5
+    return out
+
+
+def load_plys(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One splat table of many files (globs, any store that Spark reads): splat_id is the file's path, gid its row.
+
+    A file is read by one task, so this suits many scans of up to 2 GB each; `load_ply` splits a single large one.
+    """
+    from ..model import SCHEMA
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+
+    def work(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = parse_splats(content)
+                n = len(t["x"])
+                for lo in range(0, n, 65_536):
+                    own = {k: v[lo : lo + 65_536] for k, v in t.items()}
+                    m = len(own["x"])
+                    made = {"splat_id": pa.array([path] * m), "gid": pa.array(np.arange(lo, lo + m))}
+                    made |= {c: pa.array(own[c]) for c in (*POSITION, *ROTATION, *SCALE, "opacity")}
+                    k = own["colors"].shape[1]
+                    triples = pa.ListArray.from_arrays(np.arange(0, 3 * m * k + 1, 3, dtype=np.int32), pa.array(own["colors"].ravel()))
+                    made["colors"] = pa.ListArray.from_arrays(np.arange(0, m * k + 1, k, dtype=np.int32), triples)
+                    made |= {"is_rgb": pa.array([k == 1] * m), "log_scales": pa.array([True] * m)}
+                    yield pa.RecordBatch.from_arrays([made[c] for c in SCHEMA.names], SCHEMA.names)
+
+    return files.mapInArrow(work, SCHEMA)

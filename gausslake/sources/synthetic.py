@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import from_arrays
 
@@ -25,3 +26,28 @@ def object_splat(spark: SparkSession, n: int, seed: int = 0, **more) -> DataFram
     """A splat table of such a shape."""
     p = object_points(n, seed)
     return from_arrays(spark, p, scales=np.full((n, 3), 0.004), opacities=np.ones(n), **more)
+
+
+def jittered(df: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """Places moved by normal noise of `share` of the bounding diagonal."""
+    from ..operators.fuse import diagonal
+
+    size = share * diagonal(df)
+    return df.withColumns({c: F.col(c) + F.randn(seed + i) * size for i, c in enumerate("xyz")})
+
+
+def cropped(df: DataFrame, share: float) -> DataFrame:
+    """Without the given share of rows at the upper end of x."""
+    cut = df.agg(F.expr(f"percentile_disc({1 - share}) within group (order by x)")).first()[0]
+    return df.where(F.col("x") <= cut)
+
+
+def cluttered(df: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """With additional rows, as many as the given share, spread evenly over the bounding box."""
+    from ..operators.spatial import extent
+
+    lo, hi, _ = extent(df)
+    top = df.agg(F.max("gid")).first()[0] or 0
+    more = df.sample(fraction=min(1.0, share), seed=seed)
+    spread = {c: F.rand(seed + 7 + i) * float(hi[i] - lo[i]) + float(lo[i]) for i, c in enumerate("xyz")}
+    return df.unionByName(more.withColumns(spread | {"gid": F.col("gid") + top + 1}))
