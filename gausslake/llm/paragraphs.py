@@ -1,6 +1,7 @@
 """Substring de-duplication by paragraph MinHash banding.
 
-A paragraph is a line of a text. Its words (lower-cased A-Z, split at ASCII white space) give five-word shingles.
+A paragraph is a line of a text that is long enough, or a window of short lines that follow each other and together
+make up a passage. Its words (lower-cased A-Z, split at ASCII white space) give five-word shingles.
 MinHash bands are tuned for recall; paragraphs that collide in a band are compared by exact Jaccard similarity, and
 the verified links are clustered by connected components. Of each cluster the first place stays.
 
@@ -27,7 +28,8 @@ MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingles of `words` words, links from Jaccard `similar` on; paragraphs of under `least` words are left alone.
+    """Shingles of `words` words, links from Jaccard `similar` on. Lines of `least` words are paragraphs; shorter ones
+    only as windows: from each of them on, as many as reach `window` words before a longer line comes.
 
     `bands` bands of `rows` minima: a pair at similarity 0.8 collides with probability 1 - (1 - 0.8**5)**20 = 0.9996.
     A bucket of more than `crowd` paragraphs is dealt out in blocks.
@@ -36,6 +38,7 @@ class Settings:
     words: int = 5
     similar: float = 0.8
     least: int = 20
+    window: int = 40
     bands: int = 20
     rows: int = 5
     crowd: int = 1000
@@ -57,12 +60,30 @@ class WordHasher(dict):
 HASHED = WordHasher()
 
 
-def _lines(text: bytes, least: int) -> list[tuple[int, list[bytes]]]:
-    """(number, words) of the lines of a text that have `least` words."""
-    out = []
+def _paragraphs(text: bytes, s: Settings) -> list[tuple[int, int, list[bytes]]]:
+    """(first line, last line, words) of the paragraphs of a text."""
+    out, run = [], []
+
+    def windows() -> None:
+        total, end = 0, 0
+        for at, (first, words) in enumerate(run):
+            while end < len(run) and total < s.window:
+                total += len(run[end][1])
+                end += 1
+            if total < s.window:
+                break
+            out.append((first, run[end - 1][0], [w for _, own in run[at:end] for w in own]))
+            total -= len(words)
+        run.clear()
+
     for i, line in enumerate(text.lower().split(b"\n")):
-        if len(line) >= 2 * least - 1 and len(words := line.split()) >= least:
-            out.append((i, words))
+        words = line.split()
+        if len(words) >= s.least:
+            windows()
+            out.append((i, i, words))
+        elif words:
+            run.append((i, words))
+    windows()
     return out
 
 
@@ -102,21 +123,22 @@ def _bands(hashes: np.ndarray, starts: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def places(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, row, line, paragraph): every paragraph place of `docs` (columns id, row, text binary)."""
+    """(id, row, line, last, paragraph): every paragraph place of `docs` (columns id, row, text binary)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
-            at, line, own = [], [], []
+            at, line, end, own = [], [], [], []
             for i, text in enumerate(column(batch, "text").to_pylist()):
-                for number, words in _lines(text, s.least):
+                for first, last, words in _paragraphs(text, s):
                     at.append(i)
-                    line.append(number)
+                    line.append(first)
+                    end.append(last)
                     own.append(_identity(words))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), column(batch, "row").take(take), pa.array(line, pa.int64()), pa.array(own, pa.int64())], ["id", "row", "line", "paragraph"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), column(batch, "row").take(take), pa.array(line, pa.int64()), pa.array(end, pa.int64()), pa.array(own, pa.int64())], ["id", "row", "line", "last", "paragraph"])
 
-    return docs.select("id", "row", "text").mapInArrow(work, f"id {kind}, row long, line long, paragraph long")
+    return docs.select("id", "row", "text").mapInArrow(work, f"id {kind}, row long, line long, last long, paragraph long")
 
 
 def collisions(docs: DataFrame, s: Settings) -> DataFrame:
@@ -126,7 +148,7 @@ def collisions(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in pieces(batches, 512):
             own: dict[int, list[bytes]] = {}
             for text in column(batch, "text").to_pylist():
-                for _, words in _lines(text, s.least):
+                for _, _, words in _paragraphs(text, s):
                     own.setdefault(_identity(words), words)
             if own:
                 keys = _bands(*_shingles(list(own.values()), s.words), s)
@@ -195,8 +217,8 @@ def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
     dealt = hits.withColumn("blocks", F.ceil(F.col("size") / s.crowd).cast("int")).withColumn("block", block)
     dealt = dealt.select("bucket", "paragraph", F.explode(pairs).alias("part"))
-    wanted = found.join(hits.select("paragraph").distinct(), "paragraph").groupBy("paragraph").agg(F.min(F.struct("row", "line")).alias("p"))
-    wanted = wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), "paragraph")).alias("wanted"))
+    wanted = found.join(hits.select("paragraph").distinct(), "paragraph").groupBy("paragraph").agg(F.min(F.struct("row", "line", "last")).alias("p"))
+    wanted = wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), F.col("p.last").alias("last"), "paragraph")).alias("wanted"))
     once = docs.groupBy("row").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +228,7 @@ def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
                 lines = text.lower().split(b"\n")
                 for w in some:
                     ids.append(w["paragraph"])
-                    own.append(lines[w["line"]].split())
+                    own.append(b" ".join(lines[w["line"] : w["last"] + 1]).split())
             if own:
                 hashes, starts = _shingles(own, s.words)
                 sets = [np.unique(x).view(np.int64) for x in np.split(hashes, starts[1:])]
@@ -239,7 +261,8 @@ def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
 
 
 def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """(id, row, line, cluster, copies, kept): the places of paragraphs that stand in more than one place.
+    """(id, row, line, last, cluster, copies, kept): the places, from `line` to `last`, of paragraphs that stand in more
+    than one place.
 
     `row` is a hash of id and text, which ties a place to its row; rows that are equal in both count as one place and
     are treated alike. `cluster` names a component of paragraphs, `copies` counts its places, `kept` marks the one
@@ -250,21 +273,26 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings:
     rows = lean(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
     found = checkpointed(places(rows, s))
     same = components(links(rows, found, s))
-    named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "line", F.coalesce("component", "paragraph").alias("cluster"))
+    named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "line", "last", F.coalesce("component", "paragraph").alias("cluster"))
     named = named.distinct()
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")
     first = named.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1")
     kept = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    return named.join(first, "cluster").select(F.col("id").alias(id), "row", "line", "cluster", "copies", kept.alias("kept"))
+    return named.join(first, "cluster").select(F.col("id").alias(id), "row", "line", "last", "cluster", "copies", kept.alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), count: str = "n_removed") -> DataFrame:
-    """`docs` with every repeated paragraph taken out of `text` but in the place that stays, and `count` of lines gone.
+    """`docs` with the lines of every repeated paragraph taken out of `text` but in the place that stays, and `count`,
+    the number of lines gone. A line of a place that stays is never taken out by another paragraph that holds it, too.
 
     Texts without such a paragraph stay as they are, byte for byte; null texts stay null. Other columns are untouched.
     """
-    found = repeated(docs, text, id, settings).where("not kept")
-    gone = found.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_set("line")).alias("__gone"))
+    spans = F.collect_set(F.struct("line", "last"))
+    found = repeated(docs, text, id, settings).groupBy(F.col("row").alias("__row"), "kept").agg(spans.alias("spans"))
+    lines_of = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["line"], x["last"]))))
+    by = found.withColumn("lines", lines_of).groupBy("__row").agg(F.first(F.when(~F.col("kept"), F.col("lines")), True).alias("out"), F.first(F.when(F.col("kept"), F.col("lines")), True).alias("stay"))
+    none = F.array().cast("array<bigint>")
+    gone = by.select("__row", F.array_except(F.coalesce("out", none), F.coalesce("stay", none)).alias("__gone")).where(F.size("__gone") > 0)
     joined = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).join(gone, "__row", "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
@@ -273,7 +301,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", sett
 
 
 def op3_paragraphs(spark, sf_dir: str) -> DataFrame:
-    """Places of the paragraphs of 20 words and more that repeat, exactly or nearly, across or within documents."""
+    """Places of the paragraphs that repeat, exactly or nearly, across or within documents."""
     from .common import table
 
-    return repeated(table(spark, sf_dir, "documents")).select("doc_id", F.col("line").alias("paragraph"), F.col("cluster").alias("cluster_id"), "copies", "kept")
+    return repeated(table(spark, sf_dir, "documents")).select("doc_id", "line", "last", F.col("cluster").alias("cluster_id"), "copies", "kept")

@@ -39,15 +39,32 @@ def jaccard(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def similar_lines(docs, least=20, similar=0.8):
-    """{(doc_id, line): (first place of its cluster, places, kept)} of repeated lines."""
+def paragraphs(text, least=20, window=40):
+    """{(first, last line): words}: long lines, and windows of short ones."""
+    lines = [line.encode().lower().split() for line in (text or "").split("\n")]
+    out = {}
+    for i, w in enumerate(lines):
+        if len(w) >= least:
+            out[i, i] = w
+        elif w:
+            j, total = i, []
+            while j < len(lines) and len(lines[j]) < least and len(total) < window:
+                total = total + lines[j]
+                j += 1
+            if len(total) >= window:
+                while not lines[j - 1]:
+                    j -= 1
+                out[i, j - 1] = total
+    return out
+
+
+def similar_lines(docs, similar=0.8):
+    """{(doc_id, first, last line): (first place of its cluster, places, kept)} of repeated paragraphs."""
     places, sets = {}, {}
     for i, text in docs:
-        for k, line in enumerate((text or "").split("\n")):
-            w = line.encode().lower().split()
-            if len(w) >= least:
-                places[i, k] = b" ".join(w)
-                sets.setdefault(b" ".join(w), shingles(w))
+        for (a, b), w in paragraphs(text).items():
+            places[i, a, b] = b" ".join(w)
+            sets.setdefault(b" ".join(w), shingles(w))
     keys = list(sets)
     by = defaultdict(list)
     for n, k in enumerate(keys):

@@ -169,8 +169,8 @@ def test_pages_table(spark):
 def line_clusters(found):
     first = {}
     for r in found:
-        first[r.cluster] = min(first.get(r.cluster, (10**9, 0)), (r.doc_id, r.line))
-    return {(r.doc_id, r.line): (first[r.cluster], r.copies, r.kept) for r in found}
+        first[r.cluster] = min(first.get(r.cluster, (10**9, 0, 0)), (r.doc_id, r.line, r.last))
+    return {(r.doc_id, r.line, r.last): (first[r.cluster], r.copies, r.kept) for r in found}
 
 
 def test_paragraphs_real(spark, real):
@@ -193,6 +193,18 @@ def test_paragraphs_are_taken_out(spark):
     assert paragraphs.remove_repeats(empty(spark)).count() == 0
 
 
+def test_passages_of_short_lines(spark):
+    passage = "\n".join(prose(n) for n in (9, 12, 1, 15, 8, 11))
+    rows = [(1, f"{prose(30)}\n{passage}\n{prose(7)}"), (2, f"{prose(5)}\n{passage}\n{prose(40)}"), (3, "\n".join([prose(10)] * 2 + ["same short line of words that comes again"] * 40)), (4, "\n".join(prose(12) for _ in range(9)))]
+    found = paragraphs.repeated(table(spark, rows)).collect()
+    assert line_clusters(found) == brute.similar_lines(rows)
+    out = {r.doc_id: r.text for r in paragraphs.remove_repeats(table(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[4] == rows[3][1]
+    left = out[2].split("\n")
+    assert rows[1][1].split("\n")[0] == left[0] and rows[1][1].split("\n")[-1] == left[-1] and len(left) <= 3
+    assert "same short line" in out[3] and len(out[3]) < len(rows[2][1])
+
+
 # ---- 4 ------------------------------------------------------------------------------------------------------------
 
 
