@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import finite, linear_scales
-from .spatial import CELL, around, cell, lower_median, median_spacing, with_cells
+from .spatial import CELL, cell, lower_median, median_spacing, reached, with_cells
 
 
 def spacing_fallback(df: DataFrame) -> float:
@@ -82,11 +82,11 @@ def first_per_voxel(df: DataFrame, size: float) -> DataFrame:
 def knn_dedupe(df: DataFrame, radius: float | None = None) -> DataFrame:
     """Rows for which no row of higher opacity (then smaller gid) lies within `radius`, dropped rows counting, too.
 
-    Only the neighbour side is copied to the cells around; the left side of an anti-join must not be.
+    Only the neighbour side is copied to the cells that it reaches; the left side of an anti-join must not be.
     """
     r = auto_knn_radius(df) if radius is None else radius
-    left = finite(df).select("*", *cell(r))
-    right = around(finite(df).select("x", "y", "z", "opacity", "gid", *cell(r)))
+    left = finite(df).select("*", *cell(2 * r))
+    right = reached(df.select("x", "y", "z", "opacity", "gid"), r, 2 * r)
     right = right.withColumnsRenamed({c: f"n_{c}" for c in ("x", "y", "z", "opacity", "gid", *CELL)})
     near = sum(((F.col(c) - F.col(f"n_{c}")) * (F.col(c) - F.col(f"n_{c}")) for c in ("y", "z")), (F.col("x") - F.col("n_x")) * (F.col("x") - F.col("n_x")))
     higher = (F.col("n_opacity") > F.col("opacity")) | ((F.col("n_opacity") == F.col("opacity")) & (F.col("n_gid") < F.col("gid")))

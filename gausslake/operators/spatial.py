@@ -1,12 +1,11 @@
 """Joins and statistics by place: grid cells make range predicates equi-joins.
 
-A query row is copied to the 27 cells around it and joined to anchors by cell; the exact distance is the residual
-predicate. Ties in distance go to the smaller anchor id.
+A query row is copied to the cells that its ball touches and joined to anchors by cell; the exact distance is the
+residual predicate. Ties in distance go to the smaller anchor id.
 """
 
 from __future__ import annotations
 
-import math
 import tempfile
 
 import numpy as np
@@ -42,18 +41,21 @@ def with_cells(df: DataFrame, size: float) -> DataFrame:
     return finite(df).select("*", *cell(size))
 
 
-def around(df: DataFrame) -> DataFrame:
-    """Each row once for each of the 27 cells around its own."""
-    step = F.sequence(F.lit(-1), F.lit(1)).cast("array<long>")
-    offsets = F.flatten(F.flatten(F.transform(step, lambda a: F.transform(step, lambda b: F.transform(step, lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")))))))
-    out = df.withColumn("__o", F.explode(offsets))
-    return out.withColumns({c: F.col(c) + F.col(f"__o.{o}") for c, o in zip(CELL, "abc", strict=True)}).drop("__o")
+def reached(df: DataFrame, radius: float, size: float) -> DataFrame:
+    """Each row of finite place once for each cell that its ball touches: 8 on average for cells of two radii."""
+    wide = radius * (1 + 1e-9)
+    out = finite(df)
+    for p, c in zip(("x", "y", "z"), CELL, strict=True):
+        lo, hi = (F.floor((F.col(p) + F.lit(float(d))) / F.lit(float(size))).cast("long") for d in (-wide, wide))
+        out = out.withColumn(c, F.explode(F.sequence(lo, hi)))
+    return out
 
 
-def _pairs(queries: DataFrame, anchors: DataFrame, size: float, ids: tuple[str, str]) -> DataFrame:
-    q = with_cells(queries.select(F.col(ids[0]).alias("q"), "x", "y", "z"), size).withColumnsRenamed({"x": "qx_", "y": "qy_", "z": "qz_"})
+def _pairs(queries: DataFrame, anchors: DataFrame, radius: float, ids: tuple[str, str]) -> DataFrame:
+    size = 2 * radius if radius > 0 else 1.0
+    q = reached(queries.select(F.col(ids[0]).alias("q"), "x", "y", "z"), radius, size).withColumnsRenamed({"x": "qx_", "y": "qy_", "z": "qz_"})
     a = with_cells(anchors.select(F.col(ids[1]).alias("a"), "x", "y", "z"), size).withColumnsRenamed({"x": "ax_", "y": "ay_", "z": "az_"})
-    return around(q).join(a, list(CELL)).drop(*CELL)
+    return q.join(a, list(CELL)).drop(*CELL)
 
 
 def _squared() -> Column:
@@ -254,8 +256,3 @@ def nearest_arrays(queries: np.ndarray, anchors: np.ndarray, chunk: int = 4_000_
     norms = (anchors * anchors).sum(1)
     index = np.concatenate([(norms[None] - 2 * queries[k : k + step] @ anchors.T).argmin(1) for k in range(0, len(queries), step)]) if len(queries) else np.zeros(0, int)
     return np.sqrt(((queries - anchors[index]) ** 2).sum(1)), index
-
-
-def ring(radius: float, size: float) -> int:
-    """Cells to each side that a radius reaches."""
-    return math.ceil(radius / size)
