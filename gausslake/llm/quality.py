@@ -31,7 +31,7 @@ class Settings:
 
     bits: int = 18
     sample: int = 8_000
-    epochs: int = 2
+    epochs: int = 6
     alpha: float = 0.5
     beta: float = 1.0
     l1: float = 0.01
@@ -88,23 +88,27 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def follow(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias after FTRL-proximal passes over (label, features, values) in the given order."""
-    size = (1 << s.bits) + 1
+    """Weights and bias after FTRL-proximal passes over (label, features, values) in the given order.
+
+    The bias stays at the log odds of the labels, so a text of which nothing is known has the score of their share.
+    """
+    size = 1 << s.bits
     z, n = np.zeros(size), np.zeros(size)
+    good = sum(label for label, _, _ in rows)
+    bias = float(np.log((good + 1) / (len(rows) - good + 1)))
 
-    def weights(k: np.ndarray) -> np.ndarray:
+    def weights(k) -> np.ndarray:
         own, keep = z[k], s.l1
         return np.where(np.abs(own) <= keep, 0.0, -(own - np.sign(own) * keep) / ((s.beta + np.sqrt(n[k])) / s.alpha + s.l2))
 
     for _ in range(s.epochs):
         for label, index, value in rows:
-            k, x = np.append(index.astype(np.int64), size - 1), np.append(value.astype(float), 1.0)
+            k, x = index.astype(np.int64), value.astype(float)
             w = weights(k)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
+            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x + bias, -35, 35))) - label) * x
             z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / s.alpha * w
             n[k] += g * g
-    every = weights(np.arange(size))
-    return every[:-1].astype(np.float32), float(every[-1])
+    return weights(slice(None)).astype(np.float32), bias
 
 
 def held_out(id: str = "doc_id"):
