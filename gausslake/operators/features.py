@@ -76,7 +76,8 @@ def _two_nearest(queries: DataFrame, anchors: DataFrame, block: int) -> DataFram
     def packed(df: DataFrame, name: str) -> DataFrame:
         blocks = max(1, -(-df.count() // block))
         part = F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int")
-        return df.groupBy(part.alias(f"{name}_part")).agg(F.collect_list("gid").alias(f"{name}_ids"), F.collect_list("descriptor").alias(f"{name}_vectors"))
+        rows = df.where("descriptor is not null").groupBy(part.alias(f"{name}_part")).agg(F.collect_list(F.struct("gid", "descriptor")).alias("rows"))
+        return rows.select(f"{name}_part", F.col("rows.gid").alias(f"{name}_ids"), F.col("rows.descriptor").alias(f"{name}_vectors"))
 
     # every block of queries meets every block of anchors: the stated search, block by block
     q, a = packed(queries, "q"), packed(anchors, "a")
