@@ -200,3 +200,17 @@ def test_command_line(spark, tmp_path, capsys):
 def test_cloud_sampling():
     c = Cloud(np.arange(30.0).reshape(10, 3), np.zeros((10, 3)))
     assert len(c.sample(4).means) == 4 and c.sample(None) is c and len(c.sample(3, seed=1).means) == 3
+
+
+def test_second_order_weights_both_ways(spark, monkeypatch):
+    s = R.normal(size=(60, 3)) * 0.3
+    t = lie.apply(pose(30), s) + R.normal(size=s.shape) * 0.02
+    rows = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(s, t, strict=True))]
+    c = spark.createDataFrame(rows, "cid long, sx double, sy double, sz double, tx double, ty double, tz double")
+    edges = rigidity.compatibility_edges(c, 0.05)
+    _, w2 = rigidity.compatibility_graph(s, t, 0.05)
+    want = {(i, j): w2[i, j] for i in range(60) for j in range(i + 1, 60) if w2[i, j] > 0}
+    for most in (3000, 0):
+        monkeypatch.setattr(rigidity, "DENSE", most)
+        got = {(r.i, r.j): r.w for r in rigidity.second_order(edges).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
