@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions import lie
 from ..model import conform, points, step_sample, stride_sample
-from ..operators import align, bundle, camera, features, field, fuse, metrics, rigidity, solve, spatial, transform
+from ..operators import align, bundle, camera, features, field, fuse, metrics, moments, rigidity, solve, spatial, transform
 from ..operators.register import merge, register
 from ..streaming.tracker import replay
 
@@ -409,8 +409,9 @@ def umeyama_moments(spark, sf_dir):
     """Moments of nearest pairs, from which the best similarity follows."""
     a, b = halves(spark, sf_dir)
     nn = spatial.nearest_join(a, b)
-    k = nn.join(a.select(F.col("gid").alias("q"), "x", "y", "z"), "q").join(b.select(F.col("gid").alias("a"), *[F.col(c).alias(f"b{c}") for c in "xyz"]), "a")
-    out = k.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"s{c}") for c in "xyz"], *[F.avg(f"b{c}").alias(f"t{c}") for c in "xyz"], *[F.covar_pop(f"b{i}", j).alias(f"c{i}{j}") for i in "xyz" for j in "xyz"], sum((F.var_pop(c) for c in "yz"), F.var_pop("x")).alias("variance"))
+    source = a.select(F.col("gid").alias("q"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    target = b.select(F.col("gid").alias("a"), *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    out = moments.pair_moments(nn.join(source, "q").join(target, "a"))
     return _rounded(out, [c for c in out.columns if c != "n"])
 
 

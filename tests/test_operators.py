@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gausslake.functions import lie
 from gausslake.model import from_arrays, stride_sample, to_arrays, to_gsplat, with_scale_convention
-from gausslake.operators import field, fuse, metrics, solve, spatial, transform
+from gausslake.operators import field, fuse, metrics, moments, solve, spatial, transform
 from gausslake.sources.synthetic import object_points, object_splat
 
 R = np.random.default_rng(1)
@@ -165,3 +165,15 @@ def test_metrics(spark):
     recall = np.array([(np.array([0.0, 0.05, 0.5]) <= x + 1e-15).mean() for x in t])
     assert metrics.add_auc(e) == pytest.approx(np.trapezoid(recall, t) / 0.1)
     assert metrics.add_auc(e.where("error < 0")) == 0.0
+
+
+def test_similarities_by_key(spark):
+    truth = {k: lie.sim3_exp(R.normal(size=7) * 0.5) for k in (1, 2)}
+    rows = [(k, *map(float, p), *map(float, lie.apply(t, p[None])[0]), float(w)) for k, t in truth.items() for p, w in zip(R.normal(size=(30, 3)), R.random(30) + 0.1, strict=True)]
+    pairs = spark.createDataFrame([*rows, (3, *[None] * 7)], "k int, sx double, sy double, sz double, tx double, ty double, tz double, w double")
+    for weight in (None, "w"):
+        got = {r.k: np.array(r.pose).reshape(4, 4) for r in moments.fit(pairs, ["k"], weight=weight).collect()}
+        assert got.keys() == truth.keys()
+        for k, t in truth.items():
+            np.testing.assert_allclose(got[k], t, atol=1e-8)
+    assert moments.fit(pairs.where("k < 0")).first().pose == np.eye(4).ravel().tolist()
