@@ -146,14 +146,25 @@ def stride_sample(df: DataFrame, most: int) -> DataFrame:
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    """`df` with `__rank`, the rank by gid from 0, without one task for all rows: counts before each range partition."""
+    """`df` with `__rank`, the rank by gid from 0, without one task for all rows.
+
+    The ids are dealt out by range and settled, since a second dealing could cut elsewhere; a rank is the number of
+    ids in the parts before and the place in the own part.
+    """
     from pyspark.sql import Window as W
 
-    dealt = df.repartitionByRange("gid").withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").count()
-    before = sizes.select("__part", (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
+    from .operators.spatial import settled
+
+    dealt = settled(df.select("gid").repartitionByRange("gid").withColumn("__part", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in dealt.groupBy("__part").count().collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(before, "__part int, __before long")
     inside = F.row_number().over(W.partitionBy("__part").orderBy("gid")) - 1
-    return dealt.withColumn("__rank", inside).join(F.broadcast(before), "__part").withColumn("__rank", (F.col("__rank") + F.col("__before")).cast("long")).drop("__part", "__before")
+    ranks = dealt.withColumn("__rank", inside).join(F.broadcast(starts), "__part").select("gid", (F.col("__rank") + F.col("__before")).cast("long").alias("__rank"))
+    return df.join(ranks, "gid")
 
 
 def step_sample(df: DataFrame, most: int, n: int | None = None) -> DataFrame:
