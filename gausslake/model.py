@@ -127,6 +127,13 @@ def points(df: DataFrame, most: int | None = None) -> np.ndarray:
     return rows.select("gid", *POSITION).orderBy("gid").toPandas()[list(POSITION)].to_numpy(float)
 
 
+def even_rows(n: int, most: int) -> np.ndarray:
+    """`most` row numbers from 0 to n - 1: the half-even roundings of evenly spaced numbers, all rows if they are fewer."""
+    if n <= most:
+        return np.arange(n)
+    return np.unique(np.round(np.arange(most) * (n - 1) / max(most - 1, 1)).astype(int))
+
+
 def stride_sample(df: DataFrame, most: int) -> DataFrame:
     """`most` rows at most, those whose rank by gid is the (half-even) rounding of evenly spaced numbers.
 
@@ -140,7 +147,7 @@ def stride_sample(df: DataFrame, most: int) -> DataFrame:
         key = "__rank"
     else:
         key = "gid"
-    wanted = np.unique(np.round(np.linspace(0, n - 1, most)).astype(int)).tolist()
+    wanted = even_rows(n, most).tolist()
     picks = df.sparkSession.createDataFrame([(i,) for i in wanted], f"{key} long")
     return df.join(F.broadcast(picks), key, "left_semi").drop("__rank")
 

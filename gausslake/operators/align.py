@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..functions import lie
+from ..model import even_rows
 from .features import fpfh_arrays, match_arrays
 from .spatial import nearest_arrays
 
@@ -19,7 +20,7 @@ AMBIGUOUS_RESIDUAL, AMBIGUOUS_SPREAD, FEW_INLIERS = 0.04, 0.02, 6
 
 def spread(p: np.ndarray, most: int) -> np.ndarray:
     """`most` evenly spread rows."""
-    return p if len(p) <= most else p[np.unique(np.round(np.linspace(0, len(p) - 1, most)).astype(int))]
+    return p[even_rows(len(p), most)]
 
 
 def trimmed_icp(source: np.ndarray, target: np.ndarray, t: np.ndarray, iterations: int, keep: float, with_scale: bool, back: bool = False) -> np.ndarray:

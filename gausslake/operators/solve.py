@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import lie
-from ..model import linear_scales, opacity_weight  # noqa: F401  (opacity_weight is part of the surface)
+from ..model import even_rows, linear_scales
 from .field import gaussian_sdf_grad, sdf_arrays, thin_normals
 from .spatial import nearest_arrays, nearest_join
 
@@ -43,7 +43,7 @@ class Cloud:
         if most is None or len(self.means) <= most:
             return self
         n = len(self.means)
-        at = np.unique(np.round(np.linspace(0, n - 1, most)).astype(int)) if seed is None else np.sort(np.random.default_rng(seed).choice(n, most, replace=False))
+        at = even_rows(n, most) if seed is None else np.sort(np.random.default_rng(seed).choice(n, most, replace=False))
         return Cloud(self.means[at], self.normals[at], None if self.scales is None else self.scales[at])
 
 
