@@ -155,6 +155,13 @@ def collisions(docs: DataFrame, s: Settings) -> DataFrame:
                 ids = np.repeat(np.array(list(own), np.int64), s.bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["band", "paragraph"])
 
+    banded = docs.select("text").mapInArrow(band, "band long, paragraph long")
+    return met(banded)
+
+
+def met(banded: DataFrame) -> DataFrame:
+    """(bucket, size, paragraph) of `banded` (band, paragraph): the bands that different paragraphs share, once for each set of members."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sift(key: np.ndarray, own: np.ndarray) -> pa.RecordBatch | None:
             fresh = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
@@ -180,7 +187,6 @@ def collisions(docs: DataFrame, s: Settings) -> DataFrame:
         if len(key) and (made := sift(key, own)) is not None:
             yield made
 
-    banded = docs.select("text").mapInArrow(band, "band long, paragraph long")
     return keyed(banded, ["band"], ["paragraph"], meet, "bucket long, size long, paragraph long").distinct()
 
 
@@ -201,6 +207,8 @@ def _similar(sets: list[np.ndarray], similar: float) -> np.ndarray:
     postings, start = of[order], np.searchsorted(ids[order], np.arange(ids.max() + 2))
     ends = np.cumsum(size)
     for i in range(n):
+        if not labels.any():  # one component already
+            break
         own = ids[ends[i] - size[i] : ends[i]]
         both = np.bincount(np.concatenate([postings[start[k] : start[k + 1]] for k in own.tolist()]), minlength=n)
         v = np.flatnonzero(both >= similar * (size[i] + size - both) - 1e-9)
@@ -213,10 +221,6 @@ def _similar(sets: list[np.ndarray], similar: float) -> np.ndarray:
 def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     """Verified links (a, b) between different paragraphs that share a bucket: a forest for each bucket."""
     hits = checkpointed(collisions(docs, s))
-    block = F.pmod(F.xxhash64("paragraph"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
-    dealt = hits.withColumn("blocks", F.ceil(F.col("size") / s.crowd).cast("int")).withColumn("block", block)
-    dealt = dealt.select("bucket", "paragraph", F.explode(pairs).alias("part"))
     wanted = found.join(hits.select("paragraph").distinct(), "paragraph").groupBy("paragraph").agg(F.min(F.struct("row", "line", "last")).alias("p"))
     wanted = wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), F.col("p.last").alias("last"), "paragraph")).alias("wanted"))
     once = docs.groupBy("row").agg(F.first("text").alias("text"))
@@ -235,7 +239,16 @@ def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["paragraph", "shingles"])
 
-    sets = wanted.join(once, "row").mapInArrow(cut, "paragraph long, shingles array<long>")
+    return verified(hits, wanted.join(once, "row").mapInArrow(cut, "paragraph long, shingles array<long>"), s)
+
+
+def verified(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between members of the buckets `hits` by exact similarity of their `sets` (paragraph, shingles): a
+    forest for each bucket, in which every pair is compared."""
+    block = F.pmod(F.xxhash64("paragraph"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
+    dealt = hits.withColumn("blocks", F.ceil(F.col("size") / s.crowd).cast("int")).withColumn("block", block)
+    dealt = dealt.select("bucket", "paragraph", F.explode(pairs).alias("part"))
     rows = dealt.join(sets, "paragraph").select("bucket", "part", "paragraph", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

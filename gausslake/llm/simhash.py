@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, keyed, lean, merge_labels, sorted_groups
+from .common import checkpointed, column, components, keyed, lean, merge_labels, pieces, sorted_groups
+from .paragraphs import Settings, _bands, _identity, _shingles, met, verified
 
 LEAF, FAN = 32, 8
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -247,40 +248,59 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     return fp.join(label, "fp").select(F.col("__id").alias(id), "fp", "component_id")
 
 
-def _estimate(a: bytes, b: bytes, k: int) -> float:
-    """Jaccard similarity from the `k` least hashes of two sets; exact for sets that have no more. Two empty ones are alike."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)[:k]
-    return np.isin(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True).sum() / len(both) if len(both) else 1.0
+def _signed_texts(docs: DataFrame, s: Settings) -> DataFrame:
+    """(id, row, node, bands) of `docs` (id, row, text binary): a hash of the words in order, MinHash band keys (none without words)."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            own = [(x or b"").lower().split() for x in column(batch, "text").to_pylist()]
+            sizes = [s.bands if x else 0 for x in own]
+            some = [x for x in own if x]
+            keys = _bands(*_shingles(some, s.words), s).ravel().view(np.int64) if some else np.zeros(0, np.int64)
+            ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            made = [pa.array(list(map(_identity, own)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys))]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "row"), *made], ["id", "row", "node", "bands"])
+
+    return docs.select("id", "row", "text").mapInArrow(work, f"id {kind}, row long, node long, bands array<long>")
+
+
+def _sets(docs: DataFrame, s: Settings) -> DataFrame:
+    """(paragraph, shingles): the whole shingle set of each text of `docs` (paragraph, text binary)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 64):
+            own = [x.lower().split() for x in column(batch, "text").to_pylist()]
+            if own:
+                hashes, starts = _shingles(own, s.words)
+                sets = [np.unique(x).view(np.int64) for x in np.split(hashes, starts[1:])]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([column(batch, "paragraph"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["paragraph", "shingles"])
+
+    return docs.select("paragraph", "text").mapInArrow(work, "paragraph long, shingles array<long>")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, similar: float = 0.8, distance: int = 12, sketch: int = 256) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, similar: float = 0.8) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: that of the smallest id (null ids come last).
 
-    Fingerprints of `words`-word shingles that differ in at most `distance` bits make candidates: sampled bits deal
-    them to buckets (a pair 10 bits apart meets in one with probability 0.98, a nearer one more surely), and the
-    Gray-order index finds each member's nearest and a spanning forest. A candidate is a link if the Jaccard
-    similarity of the shingle sets is `similar` or more, estimated from their `sketch` least hashes. Equal texts are
-    one node. Empty texts are equal to each other. Equal rows count as one.
+    Texts are linked if the Jaccard similarity of their `words`-word shingle sets is `similar` or more. MinHash bands
+    make candidates (`paragraphs.Settings`: a pair at 0.8 shares one with probability 0.9996); in a band every pair is
+    compared by the whole sets, and only such links make groups. Texts of equal words are one node; those without
+    words are equal to each other. Equal rows count as one.
     """
-    key = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).withColumn("__node", F.xxhash64(text))
-    made = checkpointed(fingerprints(key.select(F.col(id).alias("id"), "__row", "__node", F.col(text).alias("body")), "body", words, ["id", "__row", "__node"], sketch))
-    nodes = made.groupBy(F.col("__node").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
-    found = links(nodes.select("node", "fp"), distance, tables=sampled_masks(made.count()), nearest=True)
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketches = nodes.select("node", "sketch")
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [_estimate(x, y, sketch) >= similar for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    same = components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
-    grouped = made.join(same, made["__node"] == same["node"], "left").select("id", "__row", F.coalesce("component", "__node").alias("group"))
+    s = Settings(words=words, similar=similar)
+    key = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text)))
+    rows = lean(key).select(F.col(id).alias("id"), F.col("__row").alias("row"), F.col(text).cast("binary").alias("text"))
+    made = checkpointed(_signed_texts(rows, s))
+    nodes = made.groupBy(F.col("node").alias("paragraph")).agg(F.first("bands").alias("bands"), F.min("row").alias("row"))
+    hits = checkpointed(met(nodes.select(F.explode("bands").alias("band"), "paragraph")))
+    wanted = nodes.select("paragraph", "row").join(hits.select("paragraph").distinct(), "paragraph")
+    texts = rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
+    same = components(verified(hits, _sets(texts, s), s))
+    grouped = made.join(same, "node", "left").select("id", F.col("row").alias("__row"), F.coalesce("component", "node").alias("group"))
     best = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("best"))
     stay = best.select(F.col("best.__row").alias("__row"))
-    return key.drop("__node").join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return key.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

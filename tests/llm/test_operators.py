@@ -114,6 +114,28 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
+def test_deduplicate_finds_pairs_among_nearer_relatives(spark):
+    """A family of texts just under 0.8 of each other hides no pair above it."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(330)]
+
+    def changed(words, n):
+        out = list(words)
+        for p in range(0, 5 * n, 5):
+            out[p] = word()
+        return out
+
+    family = [changed(base[:330], 9) for _ in range(60)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(family)]
+    rows += [(1000 + k, " ".join([*w[:-27], *(word() for _ in range(27))])) for k, w in enumerate(family[:20])]
+    sets = [brute.shingles(t.encode().split()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if brute.jaccard(sets[i], sets[j]) >= 0.8]
+    assert {(i, j) for i, j in pairs if i >= 60} >= {(60 + k, k) for k in range(20)} and len(pairs) < 200
+    label = brute.groups(len(rows), pairs)
+    assert sorted(r.doc_id for r in simhash.deduplicate(table(spark, rows)).collect()) == sorted(rows[g][0] for g in set(label))
+
+
 # ---- 2 ------------------------------------------------------------------------------------------------------------
 
 
