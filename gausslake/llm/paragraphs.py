@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, column, components, keyed, lean, longs, merge_labels, pieces, sorted_groups
@@ -190,9 +191,15 @@ def met(banded: DataFrame) -> DataFrame:
     return keyed(banded, ["band"], ["paragraph"], meet, "bucket long, size long, paragraph long").distinct()
 
 
-def _similar(sets: list[np.ndarray], similar: float) -> np.ndarray:
-    """Component labels of shingle sets linked from Jaccard `similar` on."""
+def _similar(sets: list[np.ndarray], similar: float, where: np.ndarray | None = None) -> np.ndarray:
+    """Component labels of shingle sets linked from Jaccard `similar` on. `where` has (row, greatest first line, least
+    last line) of sets that stand in one row only, and whether it is one row; those that only overlap are not linked."""
     n = len(sets)
+    home, first, last, single = where if where is not None else [np.zeros(n, np.int64)] * 3 + [np.zeros(n, bool)]
+
+    def apart(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        return ~single[i] | ~single[j] | (home[i] != home[j]) | (first[i] > last[j]) | (first[j] > last[i])
+
     size = np.array([len(x) for x in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     of = np.repeat(np.arange(n), size)
@@ -202,6 +209,8 @@ def _similar(sets: list[np.ndarray], similar: float) -> np.ndarray:
         has[of, ids] = 1
         both = has @ has.T
         u, v = np.nonzero(np.triu(both >= similar * (size[:, None] + size[None] - both) - 1e-4, 1))
+        far = apart(u, v)
+        u, v = u[far], v[far]
         return merge_labels(labels, u, v)
     order = np.argsort(ids, kind="stable")
     postings, start = of[order], np.searchsorted(ids[order], np.arange(ids.max() + 2))
@@ -212,17 +221,19 @@ def _similar(sets: list[np.ndarray], similar: float) -> np.ndarray:
         own = ids[ends[i] - size[i] : ends[i]]
         both = np.bincount(np.concatenate([postings[start[k] : start[k + 1]] for k in own.tolist()]), minlength=n)
         v = np.flatnonzero(both >= similar * (size[i] + size - both) - 1e-9)
-        v = v[labels[v] != labels[i]]
+        v = v[(labels[v] != labels[i]) & apart(i, v)]
         if len(v):
             labels = merge_labels(labels, np.full(len(v), i), v)
     return labels
 
 
-def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
-    """Verified links (a, b) between different paragraphs that share a bucket: a forest for each bucket."""
+def links(docs: DataFrame, found: DataFrame, s: Settings, overlapping: bool = True) -> DataFrame:
+    """Verified links (a, b) between different paragraphs that share a bucket: a forest for each bucket. If not
+    `overlapping`, windows whose every place overlaps every one of the other's are no link."""
     hits = checkpointed(collisions(docs, s))
     wanted = found.join(hits.select("paragraph").distinct(), "paragraph").groupBy("paragraph").agg(F.min(F.struct("row", "line", "last")).alias("p"))
     wanted = wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), F.col("p.last").alias("last"), "paragraph")).alias("wanted"))
+    extent = found.groupBy("paragraph").agg(F.min("row").alias("home"), F.max("line").alias("first"), F.min("last").alias("end"), (F.min("row") == F.max("row")).alias("single"))
     once = docs.groupBy("row").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,17 +250,19 @@ def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["paragraph", "shingles"])
 
-    return verified(hits, wanted.join(once, "row").mapInArrow(cut, "paragraph long, shingles array<long>"), s)
+    sets = wanted.join(once, "row").mapInArrow(cut, "paragraph long, shingles array<long>")
+    return verified(hits, sets if overlapping else sets.join(extent, "paragraph"), s)
 
 
 def verified(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) between members of the buckets `hits` by exact similarity of their `sets` (paragraph, shingles): a
-    forest for each bucket, in which every pair is compared."""
+    forest for each bucket, in which every pair is compared. Sets may have home, first, end, single: see `_similar`."""
     block = F.pmod(F.xxhash64("paragraph"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
     dealt = hits.withColumn("blocks", F.ceil(F.col("size") / s.crowd).cast("int")).withColumn("block", block)
     dealt = dealt.select("bucket", "paragraph", F.explode(pairs).alias("part"))
-    rows = dealt.join(sets, "paragraph").select("bucket", "part", "paragraph", "shingles")
+    rows = dealt.join(sets, "paragraph").select("bucket", "part", *sets.columns)
+    placed = "home" in sets.columns
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
@@ -259,7 +272,7 @@ def verified(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                 own = group.column("paragraph").to_numpy()
                 values = group.column("shingles").combine_chunks()
                 flat, ends = values.flatten().to_numpy(), np.cumsum(values.value_lengths().to_numpy())
-                labels = _similar(np.split(flat, ends[:-1]), s.similar)
+                labels = _similar(np.split(flat, ends[:-1]), s.similar, [group.column(c).to_numpy() for c in ("home", "first", "end", "single")] if placed else None)
                 moved = np.flatnonzero(labels != np.arange(len(own)))
                 if len(moved):
                     a.append(own[moved])
@@ -273,35 +286,49 @@ def verified(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return keyed(rows, ["bucket", "part"], ["paragraph"], verify, "a long, b long")
 
 
-def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), overlapping: bool = True) -> DataFrame:
     """(id, row, line, last, cluster, copies, kept): the places, from `line` to `last`, of paragraphs that stand in more
     than one place.
 
     `row` is a hash of id and text, which ties a place to its row; rows that are equal in both count as one place and
     are treated alike. `cluster` names a component of paragraphs, `copies` counts its places, `kept` marks the one
     that stays: that of the smallest id (null ids come last), then the first line. Null and empty texts have no
-    paragraphs; an empty table gives no rows.
+    paragraphs; an empty table gives no rows. If not `overlapping`, windows of one run of lines that share lines are no
+    copies of each other: a cluster has two places at least that share no line.
     """
-    s = settings
+    return _repeated(docs, text, id, settings, overlapping).drop("paragraph")
+
+
+def _repeated(docs: DataFrame, text: str, id: str, s: Settings, overlapping: bool) -> DataFrame:
+    """`repeated` with `paragraph`, the hash of the words of the place."""
     rows = lean(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
     found = checkpointed(places(rows, s))
-    same = components(links(rows, found, s))
-    named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "line", "last", F.coalesce("component", "paragraph").alias("cluster"))
+    same = components(links(rows, found, s, overlapping))
+    named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "line", "last", "paragraph", F.coalesce("component", "paragraph").alias("cluster"))
     named = named.distinct()
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")
-    first = named.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1")
+    disjoint = F.lit(overlapping) | (F.min("row") != F.max("row")) | (F.max("line") > F.min("last"))
+    first = named.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(order).alias("first"), disjoint.alias("disjoint")).where("copies > 1 and disjoint")
     kept = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    return named.join(first, "cluster").select(F.col("id").alias(id), "row", "line", "last", "cluster", "copies", kept.alias("kept"))
+    return named.join(first, "cluster").select(F.col("id").alias(id), "row", "line", "last", "paragraph", "cluster", "copies", kept.alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), count: str = "n_removed") -> DataFrame:
     """`docs` with the lines of every repeated paragraph taken out of `text` but in the place that stays, and `count`,
     the number of lines gone. A line of a place that stays is never taken out by another paragraph that holds it, too.
+    With the first place of a cluster stay the windows of its run that follow on from it by shared lines, each wording
+    once.
 
     Texts without such a paragraph stay as they are, byte for byte; null texts stay null. Other columns are untouched.
     """
     spans = F.collect_set(F.struct("line", "last"))
-    found = repeated(docs, text, id, settings).groupBy(F.col("row").alias("__row"), "kept").agg(spans.alias("spans"))
+    places = _repeated(docs, text, id, settings, False)
+    before = W.partitionBy("cluster", "row").orderBy("line")
+    breaks = F.coalesce((F.col("line") > F.max("last").over(before.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    runs = places.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(before))
+    fresh = F.row_number().over(W.partitionBy("cluster", "row", "paragraph").orderBy("line")) == 1
+    runs = runs.withColumn("kept", F.max("kept").over(W.partitionBy("cluster", "row", "run")) & fresh)
+    found = runs.groupBy(F.col("row").alias("__row"), "kept").agg(spans.alias("spans"))
     lines_of = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["line"], x["last"]))))
     by = found.withColumn("lines", lines_of).groupBy("__row").agg(F.first(F.when(~F.col("kept"), F.col("lines")), True).alias("out"), F.first(F.when(F.col("kept"), F.col("lines")), True).alias("stay"))
     none = F.array().cast("array<bigint>")
@@ -317,4 +344,4 @@ def op3_paragraphs(spark, sf_dir: str) -> DataFrame:
     """Places of the paragraphs that repeat, exactly or nearly, across or within documents."""
     from .common import table
 
-    return repeated(table(spark, sf_dir, "documents")).select("doc_id", "line", "last", F.col("cluster").alias("cluster_id"), "copies", "kept")
+    return repeated(table(spark, sf_dir, "documents"), overlapping=False).select("doc_id", "line", "last", F.col("cluster").alias("cluster_id"), "copies", "kept")

@@ -227,6 +227,18 @@ def test_passages_of_short_lines(spark):
     assert "same short line" in out[3] and len(out[3]) < len(rows[2][1])
 
 
+def test_windows_that_share_lines_are_no_copies(spark):
+    """A list of different short lines stays whole; of two copies of one the first does, of equal lines the first window."""
+    words = iter(f"w{k}" for k in range(10_000))
+    lines = lambda n: "\n".join(" ".join(next(words) for _ in range(3)) for _ in range(n))
+    shared = lines(100)
+    rows = [(1, lines(100)), (2, shared), (3, f"{lines(30)}\n{shared}")]
+    assert not [r for r in paragraphs.repeated(table(spark, rows), overlapping=False).collect() if r.doc_id == 1]
+    out = {r.doc_id: r.text for r in paragraphs.remove_repeats(table(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[2] == rows[1][1]
+    assert not set(out[3].split("\n")) & set(shared.split("\n")) and len(out[3].split("\n")) >= 25
+
+
 # ---- 4 ------------------------------------------------------------------------------------------------------------
 
 
