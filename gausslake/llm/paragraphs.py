@@ -11,6 +11,7 @@ spanning forest of the verified links, never all pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -33,13 +34,14 @@ class Settings:
     only as windows: from each of them on, as many as reach `window` words before a longer line comes.
 
     `bands` bands of `rows` minima: a pair at similarity 0.8 collides with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-    A bucket of more than `crowd` paragraphs is dealt out in blocks.
+    Equal runs of `passage` words are found wherever they stand. A bucket of more than `crowd` paragraphs is dealt out in blocks.
     """
 
     words: int = 5
     similar: float = 0.8
     least: int = 20
     window: int = 40
+    passage: int = 50
     bands: int = 20
     rows: int = 5
     crowd: int = 1000
@@ -286,6 +288,140 @@ def verified(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return keyed(rows, ["bucket", "part"], ["paragraph"], verify, "a long, b long")
 
 
+def _grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of `k` words at every place, from prefix sums modulo 2**64."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(words) - 1, MULTIPLY)))
+    back = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(words) - k, np.uint64(pow(int(MULTIPLY), -1, 1 << 64)))))
+    sums = np.append(np.uint64(0), np.cumsum(words * powers, dtype=np.uint64))
+    out = (sums[k:] - sums[:-k]) * back
+    out ^= out >> np.uint64(31)
+    return out * MULTIPLY
+
+
+def _hashed(text: bytes) -> np.ndarray:
+    return np.array([HASHED[w] for w in text.lower().split()], np.uint64)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches, sorted by `key`, without the rows whose key stands alone; those of a key are never split."""
+    rest: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            rest.append(batch)
+            keys = longs(batch, key)
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if not cut and len(rest) > 1 and longs(rest[-2], key)[-1] == keys[-1]:
+                continue
+            ready = pa.Table.from_batches([*rest[:-1], batch.slice(0, cut)])
+            rest = [batch.slice(cut)]
+        elif batch is None and rest:
+            ready = pa.Table.from_batches(rest)
+        else:
+            continue
+        keys = ready.column(key).to_numpy()
+        same = keys[1:] == keys[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if keep.any():
+            yield ready.filter(pa.array(keep))
+
+
+def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> DataFrame:
+    """(id, row, line, last, first_word, end_word, cluster, copies, kept): runs of words that stand, exactly, in more than
+    one place of `rows` (id, row, text binary), wherever lines begin or end. Every run of `passage` words counts.
+
+    The first place of each such run stays (`kept`); `cluster` is the row in which it stands. `gone` (row, gone) has
+    lines that are taken out: a place with such a line never is the one that stays. Runs of half the size, least by hash among as many as fill a passage, are looked up
+    first (equal passages have equal ones, so none is lost); around those that meet, all runs are compared.
+    """
+    n, k = s.passage, s.passage // 2
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 512):
+            at, own, size = [], [], []
+            for text in column(batch, "text").to_pylist():
+                grams = _grams(_hashed(text), k)
+                if len(grams) > n - k:
+                    least = np.lib.stride_tricks.sliding_window_view(grams, n - k + 1).argmin(1)
+                    at.append(np.unique(least + np.arange(len(least))))
+                    own.append(grams[at[-1]])
+                size.append(len(at[-1]) if len(grams) > n - k else 0)
+            if at:
+                row = column(batch, "row").take(pa.array(np.repeat(np.arange(len(size)), size)))
+                yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate(at)), pa.array(np.concatenate(own).view(np.int64))], ["row", "at", "gram"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _shared(batches, "gram"):
+            yield from some.select(["row", "at"]).to_batches()
+
+    found = keyed(rows.select("row", "text").mapInArrow(anchor, "row long, at long, gram long"), ["gram"], ["row", "at"], meet, "row long, at long")
+    hits = checkpointed(found.groupBy("row").agg(F.collect_set("at").alias("hits")))
+    near = rows.join(hits, "row").dropDuplicates(["row"])
+    near = near.withColumn("gone", F.array().cast("array<bigint>")) if gone is None else near.join(gone, "row", "left")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 64):
+            size, made = [], []
+            for text, at, out in zip(column(batch, "text").to_pylist(), column(batch, "hits").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
+                grams = _grams(_hashed(text), n)
+                counts = [len(x.split()) for x in text.split(b"\n")]
+                line = np.repeat(np.arange(len(counts)), counts)
+                lost = np.append(0, np.cumsum(np.isin(line, out or [])))
+                here = np.unique(np.array(at, np.int64)[:, None] - np.arange(n - k + 1))
+                here = here[(here >= 0) & (here < len(grams))]
+                size.append(len(here))
+                made.append((here, line[here], line[here + n - 1], grams[here].view(np.int64), lost[here + n] > lost[here]))
+            if sum(size):
+                take = pa.array(np.repeat(np.arange(len(size)), size))
+                cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), column(batch, "row").take(take), *cols], ["id", "row", "at", "line", "last", "gram", "lost"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _shared(batches, "gram"):
+            keys, row, at = (some.column(c).to_numpy() for c in ("gram", "row", "at"))
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            size = np.diff(np.append(start, len(keys)))
+            home, source = np.repeat(row[start], size), np.repeat(at[start], size)
+            out = some.select(["id", "row", "at", "line", "last"]).append_column("home", pa.array(home))
+            out = out.append_column("shift", pa.array(at - source)).append_column("copies", pa.array(np.repeat(size, size)))
+            yield from out.filter(pa.array(np.repeat(some.column("lost").to_numpy()[start] == 0, size))).to_batches()
+
+    runs = near.select("id", "row", "text", "hits", "gone").mapInArrow(expand, f"id {kind}, row long, at long, line long, last long, gram long, lost long")
+    placed = keyed(runs.withColumn("none", F.col("id").isNull()), ["gram"], ["lost", "none", "id", "row", "at"], first, f"id {kind}, row long, at long, line long, last long, home long, shift long, copies long")
+    # runs that follow each other and have their first places one after another are one passage
+    island = F.col("at") - F.row_number().over(W.partitionBy("row", "home", "shift").orderBy("at"))
+    spans = placed.withColumn("island", island).groupBy("row", "home", "shift", "island").agg(F.first("id").alias("id"), F.min("line").alias("line"), F.max("last").alias("last"), F.min("at").alias("first_word"), (F.max("at") + n).alias("end_word"), F.max("copies").alias("copies"))
+    return spans.select("id", "row", "line", "last", "first_word", "end_word", F.col("home").alias("cluster"), "copies", ((F.col("home") == F.col("row")) & (F.col("shift") == 0)).alias("kept"))
+
+
+def _cut(text: str, gone: list | None, out: list, stay: list | None) -> tuple[str, int]:
+    """A text without the lines `gone` and without the words of the spans `out` but not `stay`, and the lines changed."""
+    lines, drop, kept, at, changed = text.encode().split(b"\n"), set(gone or []), [], 0, 0
+    words = np.zeros(max(x[1] for x in [*out, *(stay or [])]), bool)
+    for flag, some in ((True, out), (False, stay or [])):
+        for a, b in some:
+            words[a:b] = flag
+    for i, line in enumerate(lines):
+        found = [m.start() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", line)]
+        flags = words[at : at + len(found)]
+        at += len(found)
+        if i in drop or (found and len(flags) == len(found) and flags.all()):
+            changed += 1
+            continue
+        if flags.any():
+            changed += 1
+            ends = [*found[1:], len(line)]
+            line = line[: found[0]] + b"".join(line[a:b] for j, (a, b) in enumerate(zip(found, ends, strict=True)) if j >= len(flags) or not flags[j])
+        kept.append(line)
+    return b"\n".join(kept).decode(), changed
+
+
+def _rows(docs: DataFrame, text: str, id: str) -> DataFrame:
+    return lean(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
+
+
 def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), overlapping: bool = True) -> DataFrame:
     """(id, row, line, last, cluster, copies, kept): the places, from `line` to `last`, of paragraphs that stand in more
     than one place.
@@ -301,7 +437,7 @@ def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings:
 
 def _repeated(docs: DataFrame, text: str, id: str, s: Settings, overlapping: bool) -> DataFrame:
     """`repeated` with `paragraph`, the hash of the words of the place."""
-    rows = lean(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
+    rows = _rows(docs, text, id)
     found = checkpointed(places(rows, s))
     same = components(links(rows, found, s, overlapping))
     named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "line", "last", "paragraph", F.coalesce("component", "paragraph").alias("cluster"))
@@ -314,8 +450,8 @@ def _repeated(docs: DataFrame, text: str, id: str, s: Settings, overlapping: boo
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), count: str = "n_removed") -> DataFrame:
-    """`docs` with the lines of every repeated paragraph taken out of `text` but in the place that stays, and `count`,
-    the number of lines gone. A line of a place that stays is never taken out by another paragraph that holds it, too.
+    """`docs` with the lines of every repeated paragraph, and the words of every repeated passage left then, taken out of
+    `text` but in the place that stays, and `count`, the number of lines gone or cut. A line of a place that stays is never taken out by another paragraph that holds it, too.
     With the first place of a cluster stay the windows of its run that follow on from it by shared lines, each wording
     once.
 
@@ -333,15 +469,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", sett
     by = found.withColumn("lines", lines_of).groupBy("__row").agg(F.first(F.when(~F.col("kept"), F.col("lines")), True).alias("out"), F.first(F.when(F.col("kept"), F.col("lines")), True).alias("stay"))
     none = F.array().cast("array<bigint>")
     gone = by.select("__row", F.array_except(F.coalesce("out", none), F.coalesce("stay", none)).alias("__gone")).where(F.size("__gone") > 0)
-    joined = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).join(gone, "__row", "left")
+    gone = checkpointed(gone)
+    found = passages(_rows(docs, text, id), settings, gone.select(F.col("__row").alias("row"), F.col("__gone").alias("gone")))
+    span = F.struct("first_word", "end_word")
+    by = found.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.when(~F.col("kept"), span)).alias("__out"), F.collect_list(F.when(F.col("kept"), span)).alias("__stay"))
+    joined = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).join(gone, "__row", "left").join(by.where(F.size("__out") > 0), "__row", "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    changed = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    return joined.withColumns({text: changed, count: F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))}).drop("__gone", "__row")
+    cut = F.udf(lambda text, *spans: None if text is None else _cut(text, *spans), "text string, lines int")
+    joined = joined.withColumn("__cut", cut(F.when(F.col("__out").isNotNull(), F.col(text)), "__gone", "__out", "__stay"))
+    changed = F.when(F.col("__out").isNotNull(), F.col("__cut.text")).when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
+    n = F.when(F.col("__out").isNotNull(), F.col("__cut.lines")).when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
+    return joined.withColumns({text: changed, count: n}).drop("__gone", "__row", "__out", "__stay", "__cut")
 
 
 def op3_paragraphs(spark, sf_dir: str) -> DataFrame:
-    """Places of the paragraphs that repeat, exactly or nearly, across or within documents."""
+    """Places of the paragraphs that repeat, exactly or nearly, and of equal runs of 50 words (from `first_word` up to
+    `end_word`, null for paragraphs), across or within documents."""
     from .common import table
 
-    return repeated(table(spark, sf_dir, "documents"), overlapping=False).select("doc_id", "line", "last", F.col("cluster").alias("cluster_id"), "copies", "kept")
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("long")
+    lines = repeated(docs, overlapping=False).withColumns({"first_word": none, "end_word": none}).withColumnRenamed("doc_id", "id")
+    names = ["line", "last", F.col("cluster").alias("cluster_id"), "copies", "kept", "first_word", "end_word"]
+    return lines.select(F.col("id").alias("doc_id"), *names).union(passages(_rows(docs, "text", "doc_id"), Settings()).select("id", *names))

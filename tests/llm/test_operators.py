@@ -239,6 +239,19 @@ def test_windows_that_share_lines_are_no_copies(spark):
     assert not set(out[3].split("\n")) & set(shared.split("\n")) and len(out[3].split("\n")) >= 25
 
 
+def test_passages_inside_other_lines(spark):
+    """52 equal words inside longer lines, and in lines of 15, 25 and 15 words, are found; 49 are not."""
+    words = iter(f"v{k}" for k in range(10_000))
+    some = lambda n: [next(words) for _ in range(n)]
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    p, q, short, own = some(52), some(55), some(49), [some(60) for _ in range(9)]
+    split = "\n".join([text(q[:15]), text(q[15:40]), text(q[40:])])
+    rows = [(1, text(own[0], p, own[1])), (2, text(own[2], p) + "\nend"), (3, text(own[3]) + "\n" + split), (4, split + "\n" + text(own[4])), (5, text(own[5], short)), (6, text(short, own[6])), (7, None), (8, "")]
+    out = {r.doc_id: r.text for r in paragraphs.remove_repeats(table(spark, rows)).collect()}
+    assert [out[k] for k in (1, 3, 5, 6, 7, 8)] == [dict(rows)[k] for k in (1, 3, 5, 6, 7, 8)]
+    assert out[2].split() == [*own[2], "end"] and out[4].split() == own[4]
+
+
 # ---- 4 ------------------------------------------------------------------------------------------------------------
 
 
