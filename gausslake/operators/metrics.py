@@ -13,20 +13,24 @@ from ..model import stride_sample
 from .spatial import nearest_join
 
 
+def _rows(df: DataFrame, most: int | None) -> DataFrame:
+    return df if most is None else stride_sample(df, most)
+
+
 def mean_nearest(a: DataFrame, b: DataFrame) -> float:
     """Mean distance of the rows of `a` to their nearest row of `b`."""
     return nearest_join(a, b).agg(F.avg("d")).first()[0]
 
 
-def chamfer(a: DataFrame, b: DataFrame, most: int = 4000, unit: float = 1000.0) -> float:
-    """Half the sum of the mean nearest distances both ways, in thousandths; on evenly spread rows of each."""
-    a, b = stride_sample(a, most), stride_sample(b, most)
+def chamfer(a: DataFrame, b: DataFrame, most: int | None = 4000, unit: float = 1000.0) -> float:
+    """Half the sum of the mean nearest distances both ways, in thousandths; on `most` evenly spread rows of each (None: all)."""
+    a, b = _rows(a, most), _rows(b, most)
     return unit * 0.5 * (mean_nearest(a, b) + mean_nearest(b, a))
 
 
-def overlap_fraction(a: DataFrame, b: DataFrame, within: float, most: int = 8000) -> float:
+def overlap_fraction(a: DataFrame, b: DataFrame, within: float, most: int | None = 8000) -> float:
     """Share of `b` with a row of `a` at a distance of `within` or less."""
-    a, b = stride_sample(a, most), stride_sample(b, most)
+    a, b = _rows(a, most), _rows(b, most)
     return nearest_join(b, a).agg(F.avg((F.col("d") <= within).cast("double"))).first()[0]
 
 
@@ -36,9 +40,9 @@ def add_metric(model: DataFrame, estimate: np.ndarray, truth: np.ndarray) -> flo
     return model.agg(F.avg(F.sqrt(sum((c * c for c in apart[1:]), apart[0] * apart[0])))).first()[0]
 
 
-def adds_metric(model: DataFrame, estimate: np.ndarray, truth: np.ndarray, most: int = 4000) -> float:
+def adds_metric(model: DataFrame, estimate: np.ndarray, truth: np.ndarray, most: int | None = 4000) -> float:
     """Mean distance to the nearest model point under the other pose, for symmetric models."""
-    m = stride_sample(model, most).select("gid", "x", "y", "z")
+    m = _rows(model, most).select("gid", "x", "y", "z")
     return mean_nearest(m.select("gid", *E.moved(truth)), m.select("gid", *E.moved(estimate)))
 
 

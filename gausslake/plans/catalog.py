@@ -289,13 +289,13 @@ def info(spark, sf_dir):
 @query(f"with {SQL_AB}, {sql_nn('a', 'b', 'f')}, {sql_nn('b', 'a', 'g')} select {sql_r6('1000 * 0.5 * ((select avg(d) from f) + (select avg(d) from g))', 'chamfer')}")
 def chamfer(spark, sf_dir):
     """Chamfer distance of A and B."""
-    return _rounded(_row(spark, chamfer=metrics.chamfer(*halves(spark, sf_dir))), ["chamfer"])
+    return _rounded(_row(spark, chamfer=metrics.chamfer(*halves(spark, sf_dir), most=None)), ["chamfer"])
 
 
 @query(f"with {SQL_AB}, {sql_nn('b', 'a', 'g')} select {sql_r6('avg((d <= 0.07)::int)', 'overlap')} from g")
 def overlap_fraction(spark, sf_dir):
     """Share of B near A."""
-    return _rounded(_row(spark, overlap=metrics.overlap_fraction(*halves(spark, sf_dir), 0.07)), ["overlap"])
+    return _rounded(_row(spark, overlap=metrics.overlap_fraction(*halves(spark, sf_dir), 0.07, most=None)), ["overlap"])
 
 
 _R = sql_moved(RIGID)
@@ -311,7 +311,7 @@ def add_error(spark, sf_dir):
 @query(f"with {SQL_E}, p as (select gid, {', '.join(f'{m} as {c}' for m, c in zip(_M, 'xyz', strict=True))} from e), q as (select gid, {', '.join(f'{m} as {c}' for m, c in zip(_R, 'xyz', strict=True))} from e), {sql_nn('q', 'p', 'f')} select {sql_r6('avg(d)', 'adds_error')} from f")
 def adds_error(spark, sf_dir):
     """The same to the nearest point."""
-    return _rounded(_row(spark, adds_error=metrics.adds_metric(splats(spark, sf_dir), POSE, RIGID)), ["adds_error"])
+    return _rounded(_row(spark, adds_error=metrics.adds_metric(splats(spark, sf_dir), POSE, RIGID, most=None)), ["adds_error"])
 
 
 @query(f"with {SQL_AB}, {sql_nn('a', 'b', 'f')}, t as (select i, i * 0.0001 as t from range(1001) s(i)), r as (select i, avg((d <= t)::int) as r from t, f group by i) select {sql_r6('(sum(r) - 0.5 * (max(r) filter (i = 0) + max(r) filter (i = 1000))) / 1000', 'auc')} from r")
