@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once and written to the folder of spark.checkpoint.dir, which all executors share.
 
-    Only where the session names no folder (tests, a laptop) a temporary one is set.
+    Only a session on one machine that names no folder gets a temporary one; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gausslake-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gausslake-"))
     return df.checkpoint(eager=True)
 
 
@@ -103,6 +105,13 @@ def keyed(df: DataFrame, keys: list[str], order: list[str], work: Callable, sche
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str, few: int) -> DataFrame:
+    """`rows` of which others than those of `wanted` keys may be missing: up to `few` keys (counted) are sent to all
+    tasks, which spares the other rows the shuffle of the join that follows; with more keys all rows come."""
+    keys = wanted.select(key).distinct()
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.limit(few + 1).count() <= few else rows
+
+
 def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Component labels (the smallest index of each) after joining u[i] with v[i]; vectorised hooking and jumping."""
     a, b = labels[u], labels[v]

@@ -1,12 +1,15 @@
 """Substring de-duplication by paragraph MinHash banding.
 
-A paragraph is a line of a text that is long enough, or a window of short lines that follow each other and together
-make up a passage. Its words (lower-cased A-Z, split at ASCII white space) give five-word shingles.
-MinHash bands are tuned for recall; paragraphs that collide in a band are compared by exact Jaccard similarity, and
-the verified links are clustered by connected components. Of each cluster the first place stays.
+A paragraph is a line of a text that is long enough, or a piece of a run of shorter lines, cut where the lines' own
+content says so, whatever stands around them. Its words (lower-cased A-Z, split at ASCII white space) give five-word
+shingles. MinHash bands are tuned for recall; paragraphs that collide in a band are compared by exact Jaccard
+similarity, and the verified links are clustered by connected components. Of each cluster the first place stays.
+
+Passages that begin or end inside a line are no paragraphs of their own: every run of 50 words that stands, word for
+word, in more than one place of what the paragraphs leave is found, too.
 
 Buckets with the same members are compared once. A crowded bucket is dealt out as pairs of blocks. Comparisons give a
-spanning forest of the verified links, never all pairs.
+spanning forest of the verified links, never all pairs. All places are counted in words of the text.
 """
 
 from __future__ import annotations
@@ -23,28 +26,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, components, keyed, lean, longs, merge_labels, pieces, sorted_groups
+from .common import among, checkpointed, column, components, keyed, lean, longs, merge_labels, pieces, sorted_groups
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingles of `words` words, links from Jaccard `similar` on. Lines of `least` words are paragraphs; shorter ones
-    only as windows: from each of them on, as many as reach `window` words before a longer line comes.
+    """Shingles of `words` words, links from Jaccard `similar` on. Lines of `least` words are paragraphs; a run of
+    shorter ones is cut after a line whose hash says so, one in `cut`, once the piece has `least` words.
 
-    `bands` bands of `rows` minima: a pair at similarity 0.8 collides with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-    Equal runs of `passage` words are found wherever they stand. A bucket of more than `crowd` paragraphs is dealt out in blocks.
+    `bands` bands of `rows` minima: a pair at similarity 0.8 collides with probability 1 - (1 - 0.8**4)**14 = 0.9994.
+    Equal runs of `passage` words are found wherever they stand. A bucket of more than `crowd` paragraphs is dealt out
+    in blocks. Up to `few` keys or spans (counted) are sent to all tasks to spare texts a shuffle; more are joined.
     """
 
     words: int = 5
     similar: float = 0.8
     least: int = 20
-    window: int = 40
+    cut: int = 4
     passage: int = 50
-    bands: int = 20
-    rows: int = 5
+    bands: int = 14
+    rows: int = 4
     crowd: int = 1000
+    few: int = 1_000_000
     seed: int = 42
 
 
@@ -63,31 +68,26 @@ class WordHasher(dict):
 HASHED = WordHasher()
 
 
-def _paragraphs(text: bytes, s: Settings) -> list[tuple[int, int, list[bytes]]]:
-    """(first line, last line, words) of the paragraphs of a text."""
-    out, run = [], []
-
-    def windows() -> None:
-        total, end = 0, 0
-        for at, (first, words) in enumerate(run):
-            while end < len(run) and total < s.window:
-                total += len(run[end][1])
-                end += 1
-            if total < s.window:
-                break
-            out.append((first, run[end - 1][0], [w for _, own in run[at:end] for w in own]))
-            total -= len(words)
-        run.clear()
-
-    for i, line in enumerate(text.lower().split(b"\n")):
-        words = line.split()
-        if len(words) >= s.least:
-            windows()
-            out.append((i, i, words))
-        elif words:
-            run.append((i, words))
-    windows()
-    return out
+def _paragraphs(text: bytes, s: Settings) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The words of a text, and (first word, end) of its paragraphs."""
+    words, out, begin = [], [], 0
+    for line in text.lower().split(b"\n"):
+        own = line.split()
+        if not own:
+            continue
+        at = len(words)
+        words += own
+        if len(own) >= s.least:
+            if at - begin >= s.least:
+                out.append((begin, at))
+            out.append((at, len(words)))
+            begin = len(words)
+        elif len(words) - begin >= s.least and xxhash.xxh32_intdigest(b" ".join(own), 3) % s.cut == 0:
+            out.append((begin, len(words)))
+            begin = len(words)
+    if len(words) - begin >= s.least:
+        out.append((begin, len(words)))
+    return words, out
 
 
 def _identity(words: list[bytes]) -> int:
@@ -126,22 +126,23 @@ def _bands(hashes: np.ndarray, starts: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def places(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, row, line, last, paragraph): every paragraph place of `docs` (columns id, row, text binary)."""
+    """(id, row, first, end, paragraph): every paragraph place of `docs` (columns id, row, text binary)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
-            at, line, end, own = [], [], [], []
+            at, first, end, own = [], [], [], []
             for i, text in enumerate(column(batch, "text").to_pylist()):
-                for first, last, words in _paragraphs(text, s):
+                words, spans = _paragraphs(text, s)
+                for a, b in spans:
                     at.append(i)
-                    line.append(first)
-                    end.append(last)
-                    own.append(_identity(words))
+                    first.append(a)
+                    end.append(b)
+                    own.append(_identity(words[a:b]))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), column(batch, "row").take(take), pa.array(line, pa.int64()), pa.array(end, pa.int64()), pa.array(own, pa.int64())], ["id", "row", "line", "last", "paragraph"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), column(batch, "row").take(take), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(own, pa.int64())], ["id", "row", "first", "end", "paragraph"])
 
-    return docs.select("id", "row", "text").mapInArrow(work, f"id {kind}, row long, line long, last long, paragraph long")
+    return docs.select("id", "row", "text").mapInArrow(work, f"id {kind}, row long, first long, end long, paragraph long")
 
 
 def collisions(docs: DataFrame, s: Settings) -> DataFrame:
@@ -151,8 +152,9 @@ def collisions(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in pieces(batches, 512):
             own: dict[int, list[bytes]] = {}
             for text in column(batch, "text").to_pylist():
-                for _, _, words in _paragraphs(text, s):
-                    own.setdefault(_identity(words), words)
+                words, spans = _paragraphs(text, s)
+                for a, b in spans:
+                    own.setdefault(_identity(words[a:b]), words[a:b])
             if own:
                 keys = _bands(*_shingles(list(own.values()), s.words), s)
                 ids = np.repeat(np.array(list(own), np.int64), s.bands)
@@ -193,15 +195,9 @@ def met(banded: DataFrame) -> DataFrame:
     return keyed(banded, ["band"], ["paragraph"], meet, "bucket long, size long, paragraph long").distinct()
 
 
-def _similar(sets: list[np.ndarray], similar: float, where: np.ndarray | None = None) -> np.ndarray:
-    """Component labels of shingle sets linked from Jaccard `similar` on. `where` has (row, greatest first line, least
-    last line) of sets that stand in one row only, and whether it is one row; those that only overlap are not linked."""
+def _similar(sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """Component labels of shingle sets linked from Jaccard `similar` on."""
     n = len(sets)
-    home, first, last, single = where if where is not None else [np.zeros(n, np.int64)] * 3 + [np.zeros(n, bool)]
-
-    def apart(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        return ~single[i] | ~single[j] | (home[i] != home[j]) | (first[i] > last[j]) | (first[j] > last[i])
-
     size = np.array([len(x) for x in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     of = np.repeat(np.arange(n), size)
@@ -211,8 +207,6 @@ def _similar(sets: list[np.ndarray], similar: float, where: np.ndarray | None =
         has[of, ids] = 1
         both = has @ has.T
         u, v = np.nonzero(np.triu(both >= similar * (size[:, None] + size[None] - both) - 1e-4, 1))
-        far = apart(u, v)
-        u, v = u[far], v[far]
         return merge_labels(labels, u, v)
     order = np.argsort(ids, kind="stable")
     postings, start = of[order], np.searchsorted(ids[order], np.arange(ids.max() + 2))
@@ -223,48 +217,44 @@ def _similar(sets: list[np.ndarray], similar: float, where: np.ndarray | None =
         own = ids[ends[i] - size[i] : ends[i]]
         both = np.bincount(np.concatenate([postings[start[k] : start[k + 1]] for k in own.tolist()]), minlength=n)
         v = np.flatnonzero(both >= similar * (size[i] + size - both) - 1e-9)
-        v = v[(labels[v] != labels[i]) & apart(i, v)]
+        v = v[labels[v] != labels[i]]
         if len(v):
             labels = merge_labels(labels, np.full(len(v), i), v)
     return labels
 
 
-def links(docs: DataFrame, found: DataFrame, s: Settings, overlapping: bool = True) -> DataFrame:
-    """Verified links (a, b) between different paragraphs that share a bucket: a forest for each bucket. If not
-    `overlapping`, windows whose every place overlaps every one of the other's are no link."""
+def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """Verified links (a, b) between different paragraphs that share a bucket: a forest for each bucket."""
     hits = checkpointed(collisions(docs, s))
-    wanted = found.join(hits.select("paragraph").distinct(), "paragraph").groupBy("paragraph").agg(F.min(F.struct("row", "line", "last")).alias("p"))
-    wanted = wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), F.col("p.last").alias("last"), "paragraph")).alias("wanted"))
-    extent = found.groupBy("paragraph").agg(F.min("row").alias("home"), F.max("line").alias("first"), F.min("last").alias("end"), (F.min("row") == F.max("row")).alias("single"))
-    once = docs.groupBy("row").agg(F.first("text").alias("text"))
+    wanted = found.join(hits.select("paragraph").distinct(), "paragraph").groupBy("paragraph").agg(F.min(F.struct("row", "first", "end")).alias("p"))
+    wanted = checkpointed(wanted.groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(F.col("p.first").alias("first"), F.col("p.end").alias("end"), "paragraph")).alias("wanted")))
+    once = among(docs, wanted, "row", s.few).groupBy("row").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
             ids, own = [], []
             for text, some in zip(column(batch, "text").to_pylist(), column(batch, "wanted").to_pylist(), strict=True):
-                lines = text.lower().split(b"\n")
+                words = text.lower().split()
                 for w in some:
                     ids.append(w["paragraph"])
-                    own.append(b" ".join(lines[w["line"] : w["last"] + 1]).split())
+                    own.append(words[w["first"] : w["end"]])
             if own:
                 hashes, starts = _shingles(own, s.words)
                 sets = [np.unique(x).view(np.int64) for x in np.split(hashes, starts[1:])]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["paragraph", "shingles"])
 
-    sets = wanted.join(once, "row").mapInArrow(cut, "paragraph long, shingles array<long>")
-    return verified(hits, sets if overlapping else sets.join(extent, "paragraph"), s)
+    return verified(hits, wanted.join(once, "row").mapInArrow(cut, "paragraph long, shingles array<long>"), s)
 
 
 def verified(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) between members of the buckets `hits` by exact similarity of their `sets` (paragraph, shingles): a
-    forest for each bucket, in which every pair is compared. Sets may have home, first, end, single: see `_similar`."""
+    forest for each bucket, in which every pair is compared."""
     block = F.pmod(F.xxhash64("paragraph"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j))
     dealt = hits.withColumn("blocks", F.ceil(F.col("size") / s.crowd).cast("int")).withColumn("block", block)
     dealt = dealt.select("bucket", "paragraph", F.explode(pairs).alias("part"))
     rows = dealt.join(sets, "paragraph").select("bucket", "part", *sets.columns)
-    placed = "home" in sets.columns
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
@@ -274,7 +264,7 @@ def verified(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                 own = group.column("paragraph").to_numpy()
                 values = group.column("shingles").combine_chunks()
                 flat, ends = values.flatten().to_numpy(), np.cumsum(values.value_lengths().to_numpy())
-                labels = _similar(np.split(flat, ends[:-1]), s.similar, [group.column(c).to_numpy() for c in ("home", "first", "end", "single")] if placed else None)
+                labels = _similar(np.split(flat, ends[:-1]), s.similar)
                 moved = np.flatnonzero(labels != np.arange(len(own)))
                 if len(moved):
                     a.append(own[moved])
@@ -304,6 +294,19 @@ def _hashed(text: bytes) -> np.ndarray:
     return np.array([HASHED[w] for w in text.lower().split()], np.uint64)
 
 
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` neighbours the place of the least (of equal ones the first)."""
+    best, span = np.arange(len(values)), 1
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
+
+    while span * 2 <= width:
+        best = lesser(best[: len(best) - span], best[span:])
+        span *= 2
+    return lesser(best[: len(best) - (width - span)], best[width - span :]) if span < width else best
+
+
 def _shared(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches, sorted by `key`, without the rows whose key stands alone; those of a key are never split."""
     rest: list[pa.RecordBatch] = []
@@ -328,26 +331,45 @@ def _shared(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> DataFrame:
-    """(id, row, line, last, first_word, end_word, cluster, copies, kept): runs of words that stand, exactly, in more than
-    one place of `rows` (id, row, text binary), wherever lines begin or end. Every run of `passage` words counts.
+    """(id, row, first, end, cluster, copies, kept): runs of words that stand, exactly, in more than one place of `rows`
+    (id, row, text binary), wherever lines begin or end. Every run of `passage` words counts.
 
     The first place of each such run stays (`kept`); `cluster` is the row in which it stands. `gone` (row, gone) has
-    lines that are taken out: a place with such a line never is the one that stays. Runs of half the size, least by hash among as many as fill a passage, are looked up
+    spans of words that are taken out: a place with such a word never is the one that stays, and runs of nothing but
+    such words are not looked at. Runs of half the size, least by hash among as many as fill a passage, are looked up
     first (equal passages have equal ones, so none is lost); around those that meet, all runs are compared.
     """
     n, k = s.passage, s.passage // 2
     kind = rows.schema["id"].dataType.simpleString()
+    if gone is None:
+        near = rows.withColumn("gone", F.lit(None).cast("array<struct<first:bigint,end:bigint>>"))
+    else:
+        spans = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+        near = rows.join(F.broadcast(gone) if spans <= s.few else gone, "row", "left")
+
+    def covered(n_words: int, gone: list | None) -> np.ndarray:
+        """How many words before each place are gone."""
+        out = np.zeros(n_words + 1, np.int64)
+        for x in gone or ():
+            out[x["first"] + 1 : x["end"] + 1] = 1
+        return np.cumsum(out)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 512):
             at, own, size = [], [], []
-            for text in column(batch, "text").to_pylist():
-                grams = _grams(_hashed(text), k)
+            for text, out in zip(column(batch, "text").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
+                words = _hashed(text)
+                grams = _grams(words, k)
+                some = np.zeros(0, np.int64)
                 if len(grams) > n - k:
-                    least = np.lib.stride_tricks.sliding_window_view(grams, n - k + 1).argmin(1)
-                    at.append(np.unique(least + np.arange(len(least))))
-                    own.append(grams[at[-1]])
-                size.append(len(at[-1]) if len(grams) > n - k else 0)
+                    some = least_places(grams, n - k + 1)
+                    if out:
+                        lost = covered(len(words), out)
+                        some = some[(lost[n:] - lost[:-n])[: len(some)] < n]
+                    some = np.unique(some)
+                at.append(some)
+                own.append(grams[some])
+                size.append(len(some))
             if at:
                 row = column(batch, "row").take(pa.array(np.repeat(np.arange(len(size)), size)))
                 yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate(at)), pa.array(np.concatenate(own).view(np.int64))], ["row", "at", "gram"])
@@ -356,140 +378,120 @@ def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> Dat
         for some in _shared(batches, "gram"):
             yield from some.select(["row", "at"]).to_batches()
 
-    found = keyed(rows.select("row", "text").mapInArrow(anchor, "row long, at long, gram long"), ["gram"], ["row", "at"], meet, "row long, at long")
+    found = keyed(near.select("row", "text", "gone").mapInArrow(anchor, "row long, at long, gram long").distinct(), ["gram"], ["row", "at"], meet, "row long, at long")
     hits = checkpointed(found.groupBy("row").agg(F.collect_set("at").alias("hits")))
-    near = rows.join(hits, "row").dropDuplicates(["row"])
-    near = near.withColumn("gone", F.array().cast("array<bigint>")) if gone is None else near.join(gone, "row", "left")
+    texts = among(near, hits, "row", s.few).join(hits, "row").dropDuplicates(["row"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
             size, made = [], []
             for text, at, out in zip(column(batch, "text").to_pylist(), column(batch, "hits").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
-                grams = _grams(_hashed(text), n)
-                counts = [len(x.split()) for x in text.split(b"\n")]
-                line = np.repeat(np.arange(len(counts)), counts)
-                lost = np.append(0, np.cumsum(np.isin(line, out or [])))
+                words = _hashed(text)
+                grams = _grams(words, n)
+                lost = covered(len(words), out)
                 here = np.unique(np.array(at, np.int64)[:, None] - np.arange(n - k + 1))
                 here = here[(here >= 0) & (here < len(grams))]
+                here = here[lost[here + n] - lost[here] < n]
                 size.append(len(here))
-                made.append((here, line[here], line[here + n - 1], grams[here].view(np.int64), lost[here + n] > lost[here]))
+                made.append((here, grams[here].view(np.int64), lost[here + n] > lost[here]))
             if sum(size):
                 take = pa.array(np.repeat(np.arange(len(size)), size))
                 cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*made, strict=True)]
-                yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), column(batch, "row").take(take), *cols], ["id", "row", "at", "line", "last", "gram", "lost"])
+                yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), column(batch, "row").take(take), *cols], ["id", "row", "at", "gram", "lost"])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _shared(batches, "gram"):
-            keys, row, at = (some.column(c).to_numpy() for c in ("gram", "row", "at"))
-            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            size = np.diff(np.append(start, len(keys)))
-            home, source = np.repeat(row[start], size), np.repeat(at[start], size)
-            out = some.select(["id", "row", "at", "line", "last"]).append_column("home", pa.array(home))
-            out = out.append_column("shift", pa.array(at - source)).append_column("copies", pa.array(np.repeat(size, size)))
-            yield from out.filter(pa.array(np.repeat(some.column("lost").to_numpy()[start] == 0, size))).to_batches()
-
-    runs = near.select("id", "row", "text", "hits", "gone").mapInArrow(expand, f"id {kind}, row long, at long, line long, last long, gram long, lost long")
-    placed = keyed(runs.withColumn("none", F.col("id").isNull()), ["gram"], ["lost", "none", "id", "row", "at"], first, f"id {kind}, row long, at long, line long, last long, home long, shift long, copies long")
+    runs = checkpointed(texts.select("id", "row", "text", "hits", "gone").mapInArrow(expand, f"id {kind}, row long, at long, gram long, lost long"))
+    order = F.struct("lost", F.col("id").isNull().alias("none"), "id", "row", "at")
+    first = runs.groupBy("gram").agg(F.min(order).alias("f"), F.count("*").alias("copies")).where("copies > 1 and f.lost = 0")
+    first = first.select("gram", "copies", F.col("f.row").alias("home"), F.col("f.at").alias("from"))
+    placed = runs.drop("lost").join(first, "gram").withColumn("shift", F.col("at") - F.col("from"))
     # runs that follow each other and have their first places one after another are one passage
     island = F.col("at") - F.row_number().over(W.partitionBy("row", "home", "shift").orderBy("at"))
-    spans = placed.withColumn("island", island).groupBy("row", "home", "shift", "island").agg(F.first("id").alias("id"), F.min("line").alias("line"), F.max("last").alias("last"), F.min("at").alias("first_word"), (F.max("at") + n).alias("end_word"), F.max("copies").alias("copies"))
-    return spans.select("id", "row", "line", "last", "first_word", "end_word", F.col("home").alias("cluster"), "copies", ((F.col("home") == F.col("row")) & (F.col("shift") == 0)).alias("kept"))
-
-
-def _cut(text: str, gone: list | None, out: list, stay: list | None) -> tuple[str, int]:
-    """A text without the lines `gone` and without the words of the spans `out` but not `stay`, and the lines changed."""
-    lines, drop, kept, at, changed = text.encode().split(b"\n"), set(gone or []), [], 0, 0
-    words = np.zeros(max(x[1] for x in [*out, *(stay or [])]), bool)
-    for flag, some in ((True, out), (False, stay or [])):
-        for a, b in some:
-            words[a:b] = flag
-    for i, line in enumerate(lines):
+    spans = placed.withColumn("island", island).groupBy("row", "home", "shift", "island").agg(F.first("id").alias("id"), F.min("at").alias("first"), (F.max("at") + n).alias("end"), F.max("copies").alias("copies"))
+    return spans.select("id", "row", "first", "end", F.col("home").alias("cluster"), "copies", ((F.col("home") == F.col("row")) & (F.col("shift") == 0)).alias("kept"))
+
+
+def _without(text: str, out: list, stay: list) -> tuple[str, int]:
+    """A text without the words of the spans `out` that are not in `stay`, and how many are gone. Lines of which no
+    word is left are gone; the others keep what stands before their first word."""
+    words = np.zeros(max(x["end"] for x in [*out, *stay]), bool)
+    for flag, some in ((True, out), (False, stay)):
+        for x in some:
+            words[x["first"] : x["end"]] = flag
+    kept, at = [], 0
+    for line in text.encode().split(b"\n"):
         found = [m.start() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", line)]
         flags = words[at : at + len(found)]
         at += len(found)
-        if i in drop or (found and len(flags) == len(found) and flags.all()):
-            changed += 1
-            continue
         if flags.any():
-            changed += 1
+            if len(flags) == len(found) and flags.all():
+                continue
             ends = [*found[1:], len(line)]
             line = line[: found[0]] + b"".join(line[a:b] for j, (a, b) in enumerate(zip(found, ends, strict=True)) if j >= len(flags) or not flags[j])
         kept.append(line)
-    return b"\n".join(kept).decode(), changed
+    return b"\n".join(kept).decode(), int(words.sum())
 
 
 def _rows(docs: DataFrame, text: str, id: str) -> DataFrame:
     return lean(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
 
 
-def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), overlapping: bool = True) -> DataFrame:
-    """(id, row, line, last, cluster, copies, kept): the places, from `line` to `last`, of paragraphs that stand in more
-    than one place.
+def _repeated(rows: DataFrame, s: Settings) -> DataFrame:
+    found = checkpointed(places(rows, s))
+    same = components(links(rows, found, s))
+    named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "first", "end", F.coalesce("component", "paragraph").alias("cluster"))
+    named = named.distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "first")
+    lead = named.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(order).alias("lead")).where("copies > 1")
+    kept = (F.col("row") == F.col("lead.row")) & (F.col("first") == F.col("lead.first"))
+    return named.join(lead, "cluster").select("id", "row", "first", "end", "cluster", "copies", kept.alias("kept"))
+
+
+def repeated(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
+    """(id, row, first, end, cluster, copies, kept): the places, from word `first` up to `end`, of paragraphs that stand
+    in more than one place.
 
     `row` is a hash of id and text, which ties a place to its row; rows that are equal in both count as one place and
     are treated alike. `cluster` names a component of paragraphs, `copies` counts its places, `kept` marks the one
-    that stays: that of the smallest id (null ids come last), then the first line. Null and empty texts have no
-    paragraphs; an empty table gives no rows. If not `overlapping`, windows of one run of lines that share lines are no
-    copies of each other: a cluster has two places at least that share no line.
+    that stays: that of the smallest id (null ids come last), then the first word. Null and empty texts have no
+    paragraphs; an empty table gives no rows.
     """
-    return _repeated(docs, text, id, settings, overlapping).drop("paragraph")
+    return _repeated(_rows(docs, text, id), settings).withColumnRenamed("id", id)
 
 
-def _repeated(docs: DataFrame, text: str, id: str, s: Settings, overlapping: bool) -> DataFrame:
-    """`repeated` with `paragraph`, the hash of the words of the place."""
+def everything(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
+    """`repeated` and the passages that it leaves, in one table with `kind`: paragraph or passage. Checkpointed."""
     rows = _rows(docs, text, id)
-    found = checkpointed(places(rows, s))
-    same = components(links(rows, found, s, overlapping))
-    named = found.join(same, found["paragraph"] == same["node"], "left").select("id", "row", "line", "last", "paragraph", F.coalesce("component", "paragraph").alias("cluster"))
-    named = named.distinct()
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "line")
-    disjoint = F.lit(overlapping) | (F.min("row") != F.max("row")) | (F.max("line") > F.min("last"))
-    first = named.groupBy("cluster").agg(F.count("*").alias("copies"), F.min(order).alias("first"), disjoint.alias("disjoint")).where("copies > 1 and disjoint")
-    kept = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    return named.join(first, "cluster").select(F.col("id").alias(id), "row", "line", "last", "paragraph", "cluster", "copies", kept.alias("kept"))
+    lines = checkpointed(_repeated(rows, settings))
+    gone = checkpointed(lines.where("not kept").groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("gone")))
+    runs = passages(rows, settings, gone)
+    return checkpointed(lines.withColumn("kind", F.lit("paragraph")).union(runs.withColumn("kind", F.lit("passage"))).withColumnRenamed("id", id))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings(), count: str = "n_removed") -> DataFrame:
-    """`docs` with the lines of every repeated paragraph, and the words of every repeated passage left then, taken out of
-    `text` but in the place that stays, and `count`, the number of lines gone or cut. A line of a place that stays is never taken out by another paragraph that holds it, too.
-    With the first place of a cluster stay the windows of its run that follow on from it by shared lines, each wording
-    once.
+    """`docs` with the words of every repeated paragraph and passage taken out of `text` but in the place that stays,
+    and `count`, the number of words gone. A word of a passage that stays is never taken out by another that holds it;
+    a paragraph that stays can lose a passage of which the place that stays is elsewhere.
 
-    Texts without such a paragraph stay as they are, byte for byte; null texts stay null. Other columns are untouched.
+    Texts without such a paragraph or passage stay as they are, byte for byte; null texts stay null. Equal rows are
+    treated alike. Other columns are untouched, whatever their names.
     """
-    spans = F.collect_set(F.struct("line", "last"))
-    places = _repeated(docs, text, id, settings, False)
-    before = W.partitionBy("cluster", "row").orderBy("line")
-    breaks = F.coalesce((F.col("line") > F.max("last").over(before.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    runs = places.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(before))
-    fresh = F.row_number().over(W.partitionBy("cluster", "row", "paragraph").orderBy("line")) == 1
-    runs = runs.withColumn("kept", F.max("kept").over(W.partitionBy("cluster", "row", "run")) & fresh)
-    found = runs.groupBy(F.col("row").alias("__row"), "kept").agg(spans.alias("spans"))
-    lines_of = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["line"], x["last"]))))
-    by = found.withColumn("lines", lines_of).groupBy("__row").agg(F.first(F.when(~F.col("kept"), F.col("lines")), True).alias("out"), F.first(F.when(F.col("kept"), F.col("lines")), True).alias("stay"))
-    none = F.array().cast("array<bigint>")
-    gone = by.select("__row", F.array_except(F.coalesce("out", none), F.coalesce("stay", none)).alias("__gone")).where(F.size("__gone") > 0)
-    gone = checkpointed(gone)
-    found = passages(_rows(docs, text, id), settings, gone.select(F.col("__row").alias("row"), F.col("__gone").alias("gone")))
-    span = F.struct("first_word", "end_word")
-    by = found.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.when(~F.col("kept"), span)).alias("__out"), F.collect_list(F.when(F.col("kept"), span)).alias("__stay"))
-    joined = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).join(gone, "__row", "left").join(by.where(F.size("__out") > 0), "__row", "left")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    cut = F.udf(lambda text, *spans: None if text is None else _cut(text, *spans), "text string, lines int")
-    joined = joined.withColumn("__cut", cut(F.when(F.col("__out").isNotNull(), F.col(text)), "__gone", "__out", "__stay"))
-    changed = F.when(F.col("__out").isNotNull(), F.col("__cut.text")).when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    n = F.when(F.col("__out").isNotNull(), F.col("__cut.lines")).when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    return joined.withColumns({text: changed, count: n}).drop("__gone", "__row", "__out", "__stay", "__cut")
+    found = everything(docs, text, id, settings)
+    span = F.struct("first", "end")
+    by = found.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.when(~F.col("kept"), span)).alias("__out"), F.collect_list(F.when(F.col("kept") & (F.col("kind") == "passage"), span)).alias("__stay"))
+    by = checkpointed(by.where(F.size("__out") > 0))
+    spans = by.agg(F.coalesce(F.sum(F.size("__out") + F.size("__stay")), F.lit(0))).first()[0]
+    joined = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text))).join(F.broadcast(by) if spans <= settings.few else by, "__row", "left")
+    cut = F.udf(lambda text, *spans: None if text is None else _without(text, *spans), "text string, words int")
+    joined = joined.withColumn("__cut", cut(F.when(F.col("__out").isNotNull(), F.col(text)), "__out", "__stay"))
+    changed = F.when(F.col("__out").isNull(), F.col(text)).otherwise(F.col("__cut.text"))
+    n = F.when(F.col("__out").isNull(), 0).otherwise(F.col("__cut.words"))
+    return joined.withColumns({text: changed, count: n}).drop("__row", "__out", "__stay", "__cut")
 
 
 def op3_paragraphs(spark, sf_dir: str) -> DataFrame:
-    """Places of the paragraphs that repeat, exactly or nearly, and of equal runs of 50 words (from `first_word` up to
-    `end_word`, null for paragraphs), across or within documents."""
+    """Places of the paragraphs that repeat, exactly or nearly, and of the equal runs of 50 words that they leave, across
+    or within documents, from `first_word` up to `end_word`."""
     from .common import table
 
-    docs = table(spark, sf_dir, "documents")
-    none = F.lit(None).cast("long")
-    lines = repeated(docs, overlapping=False).withColumns({"first_word": none, "end_word": none}).withColumnRenamed("doc_id", "id")
-    names = ["line", "last", F.col("cluster").alias("cluster_id"), "copies", "kept", "first_word", "end_word"]
-    return lines.select(F.col("id").alias("doc_id"), *names).union(passages(_rows(docs, "text", "doc_id"), Settings()).select("id", *names))
+    found = everything(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "kind", F.col("first").alias("first_word"), F.col("end").alias("end_word"), F.col("cluster").alias("cluster_id"), "copies", "kept")

@@ -39,30 +39,36 @@ def jaccard(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def paragraphs(text, least=20, window=40):
-    """{(first, last line): words}: long lines, and windows of short ones."""
-    lines = [line.encode().lower().split() for line in (text or "").split("\n")]
-    out = {}
-    for i, w in enumerate(lines):
+def paragraphs(text, least=20, cut=4):
+    """[(first word, end, words)]: long lines, and pieces of runs of short ones."""
+    out, run, at = [], [], 0
+
+    def close():
+        words = [w for _, own in run for w in own]
+        if len(words) >= least:
+            out.append((run[0][0], run[0][0] + len(words), words))
+            run.clear()
+
+    for line in (text or "").split("\n"):
+        w = line.encode().lower().split()
         if len(w) >= least:
-            out[i, i] = w
+            close()
+            run.clear()
+            out.append((at, at + len(w), w))
         elif w:
-            j, total = i, []
-            while j < len(lines) and len(lines[j]) < least and len(total) < window:
-                total = total + lines[j]
-                j += 1
-            if len(total) >= window:
-                while not lines[j - 1]:
-                    j -= 1
-                out[i, j - 1] = total
+            run.append((at, w))
+            if xxhash.xxh32_intdigest(b" ".join(w), 3) % cut == 0:
+                close()
+        at += len(w)
+    close()
     return out
 
 
-def similar_lines(docs, similar=0.8):
-    """{(doc_id, first, last line): (first place of its cluster, places, kept)} of repeated paragraphs."""
+def similar_paragraphs(docs, similar=0.8):
+    """{(doc_id, first word, end): (first place of its cluster, places, kept)} of repeated paragraphs."""
     places, sets = {}, {}
     for i, text in docs:
-        for (a, b), w in paragraphs(text).items():
+        for a, b, w in paragraphs(text):
             places[i, a, b] = b" ".join(w)
             sets.setdefault(b" ".join(w), shingles(w))
     keys = list(sets)
@@ -83,6 +89,16 @@ def similar_lines(docs, similar=0.8):
     return {p: (min(c), len(c), p == min(c)) for c in clusters.values() if len(c) > 1 for p in c}
 
 
+def runs(texts, n):
+    """{run of n words: places}, of those in more than one place."""
+    seen = defaultdict(list)
+    for i, text in texts:
+        w = (text or "").encode().lower().split()
+        for k in range(len(w) - n + 1):
+            seen[hash(tuple(w[k : k + n]))].append((i, k))
+    return {k: v for k, v in seen.items() if len(v) > 1}
+
+
 def repeated_bytes(docs, length):
     """{id: (bytes, removed, spans, digest of the rest)}."""
     seen = Counter(b[k : k + length] for _, b in docs for k in range(len(b) - length + 1))
