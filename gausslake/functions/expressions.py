@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,15 +25,21 @@ def turned(r: np.ndarray, names=("qw", "qx", "qy", "qz")) -> list[Column]:
     return [(c / length).alias(n) for c, n in zip(out, names, strict=True)]
 
 
+def rotation_columns(names=("qw", "qx", "qy", "qz")) -> list[list[Column]]:
+    """The nine entries, row by row, of the rotation matrix of a quaternion of any length but zero."""
+    w, x, y, z = (F.col(n) for n in names)
+    length = F.greatest(F.sqrt(w * w + x * x + y * y + z * z), F.lit(1e-12))
+    w, x, y, z = w / length, x / length, y / length, z / length
+    return [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)],
+        [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)],
+        [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)],
+    ]
+
+
 def thin_normal() -> list[Column]:
     """nx, ny, nz: the axis of the smallest scale of a row (the first of equal ones), turned by its quaternion."""
-    length = F.sqrt(F.col("qw") ** 2 + F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2)
-    w, x, y, z = (F.col(c) / F.greatest(length, F.lit(1e-12)) for c in ("qw", "qx", "qy", "qz"))
-    columns = [
-        (1 - 2 * (y * y + z * z), 2 * (x * y + w * z), 2 * (x * z - w * y)),
-        (2 * (x * y - w * z), 1 - 2 * (x * x + z * z), 2 * (y * z + w * x)),
-        (2 * (x * z + w * y), 2 * (y * z - w * x), 1 - 2 * (x * x + y * y)),
-    ]
+    columns = list(zip(*rotation_columns(), strict=True))
     first = (F.col("sx") <= F.col("sy")) & (F.col("sx") <= F.col("sz"))
     second = F.col("sy") <= F.col("sz")
     return [F.when(first, a).when(second, b).otherwise(c).alias(n) for a, b, c, n in zip(*columns, ("nx", "ny", "nz"), strict=True)]
@@ -50,6 +57,38 @@ def robust_weight(residual: Column, scale: float, kind: str | None) -> Column:
     raise ValueError(f"unknown robust kernel {kind!r}")
 
 
+class Kernel:
+    """A robust kernel, the same on arrays (called with |r|) and on columns (`column`)."""
+
+    def __init__(self, kind: str, scale: float):
+        if kind not in ("huber", "cauchy"):
+            raise ValueError(f"unknown robust kernel {kind!r}")
+        self.kind, self.scale = kind, float(scale)
+
+    def __call__(self, r: np.ndarray) -> np.ndarray:
+        r = np.abs(r)
+        if self.kind == "huber":
+            return np.where(r <= self.scale, 1.0, self.scale / np.maximum(r, 1e-300))
+        return 1 / (1 + (r / self.scale) ** 2)
+
+    def column(self, r: Column) -> Column:
+        """The weight of a residual column."""
+        return robust_weight(r, self.scale, self.kind)
+
+
+def kernel_column(robust, r: Column) -> Column:
+    """The weight of a residual column under any kernel: a `Kernel` stays in generated code, another callable of |r|
+    runs over Arrow batches."""
+    if hasattr(robust, "column"):
+        return robust.column(r)
+
+    @F.pandas_udf("double")
+    def weight(v: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(robust(np.abs(v.to_numpy(float))), float))
+
+    return weight(r)
+
+
 def projected(pose: np.ndarray, k: np.ndarray, names=("x", "y", "z")) -> list[Column]:
     """u, v, depth of points seen from a camera-to-world pose; depths are clamped at 1e-6 for the division."""
     x, y, z = moved(lie.inverse(pose), names)

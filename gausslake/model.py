@@ -139,15 +139,31 @@ def stride_sample(df: DataFrame, most: int) -> DataFrame:
 
     Assumes gids 0 to n - 1, as row identity has it; other ids are ranked first.
     """
+    return rows_by_rank(df, lambda n: None if n <= most else even_rows(n, most))
+
+
+def drawn_sample(df: DataFrame, most: int, seed: int) -> DataFrame:
+    """`most` rows at most, those whose rank by gid a seeded generator draws without repetition."""
+    return rows_by_rank(df, lambda n: None if n <= most else drawn_rows(n, most, seed))
+
+
+def drawn_rows(n: int, most: int, seed: int) -> np.ndarray:
+    """`most` of n row numbers, drawn with a seed, in order."""
+    return np.sort(np.random.default_rng(seed).choice(n, most, replace=False))
+
+
+def rows_by_rank(df: DataFrame, choose) -> DataFrame:
+    """The rows whose ranks by gid `choose` gives for the number of rows (None: all); a bounded list of them."""
     n, lo, hi = df.agg(F.count("*"), F.min("gid"), F.max("gid")).first()
-    if n <= most:
+    chosen = choose(n)
+    if chosen is None:
         return df
     if (lo, hi) != (0, n - 1):
         df = ranked(df)
         key = "__rank"
     else:
         key = "gid"
-    wanted = even_rows(n, most).tolist()
+    wanted = chosen.tolist()
     picks = df.sparkSession.createDataFrame([(i,) for i in wanted], f"{key} long")
     return df.join(F.broadcast(picks), key, "left_semi").drop("__rank")
 

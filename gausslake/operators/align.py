@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from ..functions import lie
 from ..model import even_rows
-from .features import fpfh_arrays, match_arrays
+from .features import fpfh_arrays, match_arrays, neighbours, normals
 from .spatial import nearest_arrays
 
 AMBIGUOUS_RESIDUAL, AMBIGUOUS_SPREAD, FEW_INLIERS = 0.04, 0.02, 6
@@ -76,28 +76,22 @@ def seeds(source: np.ndarray, target: np.ndarray, n: int, with_scale: bool) -> n
     return out
 
 
-def _refined(spark: SparkSession | None, poses: np.ndarray, source: np.ndarray, target: np.ndarray, iterations: int, keep: float, with_scale: bool, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(poses, scores) after trimmed rounds from each pose; on the executors if there are many."""
-
-    def one(t):
-        t = trimmed_icp(source, target, t, iterations, keep, with_scale, back)
-        return t, symmetric_score(source, target, t, keep)
-
+def over_poses(spark: SparkSession | None, poses: np.ndarray, data: tuple, one) -> tuple[np.ndarray, np.ndarray]:
+    """(poses, scores) that `one(pose, *data)` makes of each pose, `data` being arrays of bounded size; on the executors
+    if there are many poses."""
     if spark is None or len(poses) < 64:
-        done = [one(t) for t in poses]
-        return np.array([t for t, _ in done]), np.array([s for _, s in done])
-    shared = spark.sparkContext.broadcast((source, target))
+        done = [one(t, *data) for t in poses]
+        return np.array([t for t, _ in done]).reshape(-1, 4, 4), np.array([s for _, s in done])
+    shared = spark.sparkContext.broadcast(data)
 
     def work(batches):
-        a, b = shared.value
         for batch in batches:
-            ids, ts, ss = [], [], []
-            for i, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = trimmed_icp(a, b, np.array(flat).reshape(4, 4), iterations, keep, with_scale, back)
-                ids.append(i)
+            ids, ts, ss = batch.column(0).to_pylist(), [], []
+            for flat in batch.column(1).to_pylist():
+                t, s = one(np.array(flat).reshape(4, 4), *shared.value)
                 ts.append(t.ravel().tolist())
-                ss.append(symmetric_score(a, b, t, keep))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.list_(pa.float64())), pa.array(ss)], ["i", "t", "score"])
+                ss.append(float(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.list_(pa.float64())), pa.array(ss, pa.float64())], ["i", "t", "score"])
 
     rows = spark.createDataFrame([(i, t.ravel().tolist()) for i, t in enumerate(poses)], "i long, t array<double>")
     slices = min(len(poses) // 16 + 1, 2 * spark.sparkContext.defaultParallelism)
@@ -105,11 +99,27 @@ def _refined(spark: SparkSession | None, poses: np.ndarray, source: np.ndarray,
     return np.array([r.t for r in got]).reshape(-1, 4, 4), np.array([r.score for r in got])
 
 
-def global_align(source: np.ndarray, target: np.ndarray, transform: str = "se3", n_seeds: int = 1024, spark: SparkSession | None = None, most_source: int = 4096, most_target: int = 12_288, coarse: int = 200, finalists: int = 24) -> tuple[np.ndarray, dict]:
+def _refined(spark: SparkSession | None, poses: np.ndarray, source: np.ndarray, target: np.ndarray, iterations: int, keep: float, with_scale: bool, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(poses, scores) after trimmed rounds from each pose; a search `back` is scored from target to source only."""
+
+    def one(t, a, b):
+        t = trimmed_icp(a, b, t, iterations, keep, with_scale, back)
+        return t, trimmed_mean(nearest_arrays(b, lie.apply(t, a))[0], 0.9) if back else symmetric_score(a, b, t, keep)
+
+    return over_poses(spark, poses, (source, target), one)
+
+
+def near_best(scores: np.ndarray, within: float = 5e-3) -> np.ndarray:
+    """Which scores are about as good as the least: within `within` of it, in units of it if it is above 1."""
+    return np.flatnonzero(scores <= scores.min() + within * max(1.0, abs(float(scores.min()))))
+
+
+def global_align(source: np.ndarray, target: np.ndarray, transform: str = "se3", n_seeds: int = 1024, spark: SparkSession | None = None, most_source: int = 4096, most_target: int = 12_288, coarse: int = 200, finalists: int = 64) -> tuple[np.ndarray, dict]:
     """Pose with the best trimmed two-way distance over all seeds, and facts about it.
 
-    All seeds are judged on small samples first; the best go on to larger ones. Among poses about as good as the best
-    the one whose centroid moves nearest to the target's wins. Fewer than 3 points on a side give the identity.
+    All seeds are judged on small samples first; the best go on to larger ones. Distances are measured in radii of the
+    target. Among poses about as good as the best the one whose centroid moves nearest to the target's wins. Fewer
+    than 3 points on a side give the identity.
     """
     if min(len(source), len(target)) < 3:
         return np.eye(4), {"score": float("inf"), "seeds": 0}
@@ -120,21 +130,96 @@ def global_align(source: np.ndarray, target: np.ndarray, transform: str = "se3",
     poses = poses[np.argsort(scores, kind="stable")[:finalists]]
     a, b = spread(source, 5 * coarse), spread(target, 10 * coarse)
     poses, scores = _refined(spark, poses, a, b, 40, 0.85, with_scale)
-    good = np.flatnonzero(scores <= scores.min() + 5e-3 * min(1.0, max(abs(scores.min()), 1e-12)))
+    radius = max(float(np.linalg.norm(target - target.mean(0), axis=1).max()), 1e-12)
+    good = near_best(scores / radius)
     off = [np.linalg.norm(lie.apply(poses[i], source).mean(0) - target.mean(0)) for i in good]
     best = poses[good[int(np.argmin(off))]]
     best = trimmed_icp(source, target, best, 10, 0.85, with_scale) if len(source) * len(target) <= 2e7 else best
     return best, {"score": float(scores.min()), "seeds": len(poses)}
 
 
-def ransac(cs: np.ndarray, ct: np.ndarray, with_scale: bool, tolerance: float, hypotheses: int = 2000, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(pose, inlier mask) of matched points: three-point hypotheses, the most inliers (then the least mean error), refit.
+def basin_sweep(source: np.ndarray, target: np.ndarray, spark: SparkSession | None = None, rotations: int = 2048, top: int = 200, iterations: int = 12, refine: int = 150, most_source: int = 1400, most_target: int = 800) -> np.ndarray:
+    """Rigid pose for a target that shows only a part of the source: a dense covering of rotations.
+
+    Every rotation is run through rounds from target to source and judged by them; the `top` best go through rounds
+    along the source's normals; of those about as good one way, the least distance both ways wins.
+    """
+    a, b = spread(source, most_source), spread(target, most_target)
+    if min(len(a), len(b)) < 6:
+        return np.eye(4)
+    start = np.tile(np.eye(4), (rotations, 1, 1))
+    start[:, :3, :3] = lie.super_fibonacci(rotations)
+    start[:, :3, 3] = b.mean(0) - np.einsum("nij,j->ni", start[:, :3, :3], a.mean(0))
+    poses, scores = _refined(spark, start, a, b, iterations, 0.7, False, back=True)
+    poses = poses[np.argsort(scores, kind="stable")[:top]]
+    own = normals(a, neighbours(a, 16))
+
+    def one(t, a, b, n):
+        t = point_to_plane(a, n, b, t, refine)
+        return t, trimmed_mean(nearest_arrays(b, lie.apply(t, a))[0], 0.8)
+
+    poses, scores = over_poses(spark, poses, (a, b, own), one)
+    rivals = np.flatnonzero(scores <= max(3 * scores.min(), scores.min() + 1e-4))
+    return poses[rivals[int(np.argmin([two_way_residual(a, b, poses[i]) for i in rivals]))]]
+
+
+def two_way_residual(source: np.ndarray, target: np.ndarray, t: np.ndarray, keep: float = 0.85, keep_back: float = 0.6) -> float:
+    """Trimmed mean distance of the target to the moved source and of the moved source to the target; the way from the
+    source is trimmed harder, as the target may show only a part of it."""
+    p = lie.apply(t, source)
+    return trimmed_mean(nearest_arrays(target, p)[0], keep) + trimmed_mean(nearest_arrays(p, target)[0], keep_back)
+
+
+def overlap_inliers(source: np.ndarray, target: np.ndarray, t: np.ndarray, tolerance: float, most_source: int = 2048, most_target: int = 1024) -> int:
+    """Target points that lie within `tolerance` of the moved source."""
+    a, b = spread(source, most_source), spread(target, most_target)
+    return int((nearest_arrays(b, lie.apply(t, a))[0] < tolerance).sum()) if min(len(a), len(b)) >= 3 else 0
+
+
+def cloud_voxel(points: np.ndarray, factor: float = 1.5, sample: int = 2000) -> float:
+    """A size that follows the spacing of a cloud, whatever its unit: `factor` lower median nearest distances."""
+    if len(points) < 4:
+        return 0.05
+    p = spread(points, sample)
+    d = nearest_others(p)
+    step = float(np.sort(d)[(len(d) - 1) // 2])
+    if not np.isfinite(step) or step <= 0:
+        step, factor = float(np.linalg.norm(points.max(0) - points.min(0))) / 50, 1.0
+    return max(step * factor, 1e-4)
+
+
+def nearest_others(p: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Distance of each point of a bounded sample to its nearest other."""
+    out = []
+    for lo in range(0, len(p), chunk):
+        d = np.linalg.norm(p[lo : lo + chunk, None] - p[None], axis=2)
+        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+        out.append(d.min(1))
+    return np.concatenate(out)
+
+
+#: Hypotheses are about as good from this share of the best one's inliers on; so many of them are compared;
+#: rotations further apart than this (degrees) contradict each other.
+SLACK, RIVALS, CONTRADICTION = 0.85, 12, 12.0
+
+
+def rotation_spread(rotations: np.ndarray) -> float:
+    """The largest angle in degrees between two of some rotations; 0 for fewer than two."""
+    if len(rotations) < 2:
+        return 0.0
+    trace = np.einsum("aij,bij->ab", rotations, rotations)
+    return float(np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1))).max())
+
+
+def ransac(cs: np.ndarray, ct: np.ndarray, with_scale: bool, tolerance: float, hypotheses: int = 2000, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(pose, inlier mask, spread) of matched points: three-point hypotheses, the most inliers (then the least mean
+    error), refit; `spread` is the largest angle between the best hypotheses that are about as good.
 
     Triples are drawn from the matches that agree in distance with the best connected one, if those are enough.
     """
     n = len(cs)
     if n < 3:
-        return np.eye(4), np.zeros(n, bool)
+        return np.eye(4), np.zeros(n, bool), 0.0
     ds, dt = (np.linalg.norm(c[:, None] - c[None], axis=2) for c in (cs, ct))
     agree = np.abs(ds - dt) < 2 * tolerance if not with_scale else np.ones((n, n), bool)
     hub = int(agree.sum(1).argmax())
@@ -143,6 +228,7 @@ def ransac(cs: np.ndarray, ct: np.ndarray, with_scale: bool, tolerance: float, h
         pool = np.arange(n)
     random = np.random.default_rng(seed)
     best, best_mask, best_key = np.eye(4), np.zeros(n, bool), (-1, 0.0)
+    tried: list[tuple[int, np.ndarray]] = []
     for _ in range(hypotheses):
         pick = random.choice(pool, 3, replace=False)
         t = lie.umeyama(cs[pick], ct[pick], with_scale=with_scale)
@@ -151,14 +237,17 @@ def ransac(cs: np.ndarray, ct: np.ndarray, with_scale: bool, tolerance: float, h
         e = np.linalg.norm(lie.apply(t, cs) - ct, axis=1)
         mask = e < tolerance
         key = (int(mask.sum()), -float(e[mask].mean()) if mask.any() else 0.0)
+        if key[0] >= max(3, SLACK * best_key[0]):
+            tried.append((key[0], t[:3, :3] / lie.scale_of(t)))
         if key > best_key:
             best, best_mask, best_key = t, mask, key
+    tried = sorted((x for x in tried if x[0] >= SLACK * best_key[0]), key=lambda x: -x[0])[:RIVALS]
     for _ in range(3):
         if best_mask.sum() < 3:
             break
         best = lie.umeyama(cs[best_mask], ct[best_mask], with_scale=with_scale)
         best_mask = np.linalg.norm(lie.apply(best, cs) - ct, axis=1) < tolerance
-    return best, best_mask
+    return best, best_mask, rotation_spread(np.array([r for _, r in tried]))
 
 
 def polish(source: np.ndarray, target: np.ndarray, t: np.ndarray, with_scale: bool, iterations: int = 10, keep: float = 0.85) -> np.ndarray:
@@ -166,14 +255,16 @@ def polish(source: np.ndarray, target: np.ndarray, t: np.ndarray, with_scale: bo
     return trimmed_icp(spread(source, 2048), spread(target, 1024), t, iterations, keep, with_scale, back=True)
 
 
-def point_to_plane(source: np.ndarray, target: np.ndarray, normals: np.ndarray, t: np.ndarray, iterations: int = 20, keep: float = 0.8, damping: float = 0.5) -> np.ndarray:
-    """Rigid rounds along the target's normals about the centroid of the overlap, from target to source."""
+def point_to_plane(source: np.ndarray, own: np.ndarray, target: np.ndarray, t: np.ndarray, iterations: int = 20, keep: float = 0.8, damping: float = 0.5) -> np.ndarray:
+    """Rigid rounds from target to source along the source's normals `own`, about the centroid of the overlap, so that a
+    part can slide along the surface that it is a part of."""
     for _ in range(iterations):
         p = lie.apply(t, source)
         d, at = nearest_arrays(target, p)
-        near = d <= np.partition(d, max(0, int(keep * len(d)) - 1))[max(0, int(keep * len(d)) - 1)]
-        x, q, n = p[at[near]], target[near], normals[near]
-        pivot = q.mean(0)
+        cut = max(0, int(keep * len(d)) - 1)
+        near = d <= np.partition(d, cut)[cut]
+        x, q, n = p[at[near]], target[near], own[at[near]] @ t[:3, :3].T
+        pivot = x.mean(0)
         rows = np.concatenate((np.cross(x - pivot, n), n), 1)
         h = rows.T @ rows
         step = np.linalg.solve(h + damping * np.diag(np.diag(h)) + 1e-12 * np.eye(6), rows.T @ ((q - x) * n).sum(1))
@@ -213,19 +304,24 @@ def scale_search(source: np.ndarray, target: np.ndarray, t: np.ndarray, span: fl
     return new if symmetric_score(source, target, new, 0.8) <= symmetric_score(source, target, t, 0.8) else t
 
 
-def sensitivity(source: np.ndarray, target: np.ndarray, t: np.ndarray, probe: float = 30.0) -> float:
-    """How much worse the best of some turned poses is: small where the shape looks alike from another side."""
-    base = overlap_residual(source, target, t)
-    centre = lie.apply(t, source).mean(0)
-    worst = np.inf
+def sensitivity(source: np.ndarray, target: np.ndarray, t: np.ndarray, probe: float = 10.0, floor: float = 1.0) -> float:
+    """How much the overlap residual of the pose rises if it is turned by `probe` degrees rather than by `floor`, about
+    the axis for which it rises least, in root mean square radii of the target; 0 where a turn changes nothing.
+
+    The turn by `floor` takes out what any turn costs on a sampled surface. Turns are about the overlap's centroid.
+    """
+    if min(len(source), len(target)) < 3:
+        return 0.0
+    size = max(float(np.sqrt(((target - target.mean(0)) ** 2).sum(1).mean())), 1e-9)
+    p = lie.apply(t, source)
+    pivot = p[nearest_arrays(target, p)[1]].mean(0)
+
+    def turned(axis: np.ndarray, degrees: float) -> float:
+        r = lie.so3_exp(np.radians(degrees) * axis)
+        return trimmed_mean(nearest_arrays(target, (p - pivot) @ r.T + pivot)[0], 0.85)
+
     axes = np.concatenate((np.eye(3), np.array([[1, 1, 0], [1, 0, 1], [0, 1, 1]]) / np.sqrt(2)))
-    for axis in axes:
-        for sign in (1, -1):
-            r = lie.so3_exp(sign * np.radians(probe) * axis)
-            turn = np.eye(4)
-            turn[:3, :3], turn[:3, 3] = r, centre - r @ centre
-            worst = min(worst, overlap_residual(source, target, turn @ t))
-    return float(worst - base)
+    return max(0.0, min((turned(a, s * probe) - turned(a, s * floor)) / size for a in axes for s in (1, -1)))
 
 
 def feature_align(source: np.ndarray, target: np.ndarray, transform: str = "se3", sample: int = 600, tolerance: float = 0.02, sweep: bool = True, spark: SparkSession | None = None, correspondences: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 0) -> tuple[np.ndarray, dict]:
@@ -240,24 +336,27 @@ def feature_align(source: np.ndarray, target: np.ndarray, transform: str = "se3"
         cs, ct = a[m[:, 0]], b[m[:, 1]]
     else:
         cs, ct = correspondences
-    t, inliers = np.eye(4), 0
+    t, inliers, rivals = np.eye(4), 0, 0.0
     t[:3, 3] = target.mean(0) - source.mean(0)
     if len(cs) >= 4:
-        got, mask = ransac(cs, ct, with_scale, tolerance, seed=seed)
+        got, mask, rivals = ransac(cs, ct, with_scale, tolerance, seed=seed)
         inliers = int(mask.sum())
         if inliers >= 3:
             t = polish(source, target, got, with_scale)
     a, b = spread(source, 1024), spread(target, 1024)
     residual = overlap_residual(a, b, t)
     if sweep and residual > AMBIGUOUS_RESIDUAL:
-        other, _ = global_align(source, target, transform, spark=spark)
-        again = overlap_residual(a, b, other)
-        if again < residual:
-            t, residual = other, again
+        others = [global_align(source, target, transform, spark=spark)[0]]
+        if overlap_residual(a, b, others[0]) > AMBIGUOUS_RESIDUAL and not with_scale:
+            others.append(basin_sweep(source, target, spark))
+        for other in others:
+            again = overlap_residual(a, b, other)
+            if again < residual:
+                t, residual, rivals, inliers = other, again, 0.0, overlap_inliers(source, target, other, tolerance)
     spread_of = sensitivity(spread(source, 400), spread(target, 400), t)
-    ambiguous = inliers < FEW_INLIERS or residual > AMBIGUOUS_RESIDUAL or spread_of < AMBIGUOUS_SPREAD
+    ambiguous = inliers < FEW_INLIERS or residual > AMBIGUOUS_RESIDUAL or spread_of < AMBIGUOUS_SPREAD or rivals > CONTRADICTION
     confidence = max(0.0, 1 - residual / AMBIGUOUS_RESIDUAL) * min(1.0, max(0.0, spread_of) / 0.04) * min(1.0, inliers / 12)
-    return t, {"matches": len(cs), "inliers": inliers, "residual": residual, "sensitivity": spread_of, "ambiguous": ambiguous, "confidence": min(confidence, 0.3) if ambiguous else confidence}
+    return t, {"matches": len(cs), "inliers": inliers, "residual": residual, "sensitivity": spread_of, "spread_deg": rivals, "ambiguous": ambiguous, "confidence": min(confidence, 0.3) if ambiguous else confidence}
 
 
 def seed_gate_score(source: np.ndarray, target: np.ndarray, t: np.ndarray, sample: int = 800) -> float:

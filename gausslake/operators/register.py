@@ -11,7 +11,8 @@ from . import align, fuse, rigidity
 from .solve import ICP, SDF, Cloud, LevenbergMarquardt, RegisterResult, run_lm
 from .transform import apply_transform, union_splats
 
-#: Above this number of rows on a side, iterations run on tables instead of arrays.
+#: Above this number of rows on a side, iterations run on tables instead of arrays; both minimise the same. Seeds are
+#: searched for on samples of at most so many rows, of which each search takes its own documented number.
 LOCAL = 50_000
 SHORT = ("features", "robust", "learned", "bufferx", "mac")
 
@@ -19,7 +20,16 @@ SHORT = ("features", "robust", "learned", "bufferx", "mac")
 def _sample(df: DataFrame, n: int | None) -> Cloud:
     from ..model import stride_sample
 
-    return Cloud.of(stride_sample(df, n or LOCAL))
+    return Cloud.of(stride_sample(df, min(n or LOCAL, LOCAL)))
+
+
+def _sides(target: DataFrame, source: DataFrame, target_sample: Cloud, source_sample: Cloud, n: int | None) -> tuple:
+    """What the iterations run on: the arrays if they hold all rows that take part, else tables of these rows."""
+    from ..model import stride_sample
+
+    if max(n or source.count(), n or target.count()) <= LOCAL:
+        return target_sample, source_sample
+    return (target, source) if n is None else (stride_sample(target, n), stride_sample(source, n))
 
 
 def _seed(init, source: Cloud, target: Cloud, transform: str, spark, correspondences) -> tuple[np.ndarray, dict]:
@@ -44,8 +54,9 @@ def _seed(init, source: Cloud, target: Cloud, transform: str, spark, corresponde
     if init == "mac":
         return rigidity.mac_feature_align(a, b, transform, correspondences=correspondences, spark=spark)
     if init in ("robust", "learned", "bufferx"):
-        radius = np.linalg.norm(b - b.mean(0), axis=1).max()
-        t, facts = align.feature_align(a, b, transform, tolerance=max(0.02, 0.02 * radius), spark=spark, correspondences=correspondences)
+        # matches of clouds of any unit are held to their own spacing
+        step = max(align.cloud_voxel(a), align.cloud_voxel(b))
+        t, facts = align.feature_align(a, b, transform, tolerance=max(0.02, 1.5 * step), spark=spark, correspondences=correspondences)
         if transform == "sim3" and init == "robust":
             t = align.scale_search(align.spread(a, 800), align.spread(b, 800), t)
         return t, facts
@@ -56,7 +67,8 @@ def register(target: DataFrame, source: DataFrame, *, residuals=None, init=None,
     """The pose that takes `source` to `target`.
 
     A seed by `init` is followed by iterations over `residuals` (by default nearest points and the target's field);
-    feature seeds without own residuals are the answer already. Tables of more than 50 000 rows iterate as tables.
+    feature seeds without own residuals are the answer already. Tables of more than 50 000 rows iterate as tables, with
+    the same residuals, samples and kernels. `quality` sets how many points take part (full: all).
     """
     if transform not in ("se3", "sim3"):
         raise ValueError(f"transform must be se3 or sim3, not {transform!r}")
@@ -84,8 +96,7 @@ def register(target: DataFrame, source: DataFrame, *, residuals=None, init=None,
         if residuals is None:
             sigma = fuse.auto_sdf_sigma(target)
             residuals = [ICP(weight=1.0), SDF(sigma, weight=0.3, knn=q.knn)]
-        whole = q.n_points is None and max(source.count(), target.count()) > LOCAL
-        result = run_lm(t0, residuals, target if whole else b, source if whole else a, transform, n_iters=max_iters if max_iters is not None else q.max_iters)
+        result = run_lm(t0, residuals, *_sides(target, source, b, a, q.n_points), transform, n_iters=max_iters if max_iters is not None else q.max_iters)
         result.info = facts | result.info
     if refine == "photometric":
         from .photometric import refine_photometric
@@ -140,7 +151,10 @@ def track_arrays(target: Cloud, source: Cloud, prior: np.ndarray, sigma: float,
 
 def track(target: DataFrame, source: DataFrame, prior: np.ndarray, transform: str = "se3", iterations: int = TRACK_ITERATIONS, sigma: float | None = None) -> RegisterResult:
     """The pose of a frame from the pose of the one before."""
-    return track_arrays(_sample(target, None), _sample(source, None), prior, sigma or fuse.auto_sdf_sigma(target), transform, iterations)
+    sigma = sigma or fuse.auto_sdf_sigma(target)
+    if max(source.count(), target.count()) <= LOCAL:
+        return track_arrays(Cloud.of(target), Cloud.of(source), prior, sigma, transform, iterations)
+    return run_lm(prior, make_track_residuals(sigma), target, source, transform, LevenbergMarquardt(), iterations, TRACK_TRANSLATION, TRACK_ROTATION, 0.0)
 
 
 class Tracker:

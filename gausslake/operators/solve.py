@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import lie
-from ..model import even_rows, linear_scales
+from ..model import drawn_rows, drawn_sample, even_rows, linear_scales, stride_sample
 from .field import gaussian_sdf_grad, sdf_arrays, thin_normals
-from .spatial import nearest_arrays, nearest_join
+from .spatial import nearest_arrays, nearest_join, settled
 
 DOF = {"se3": 6, "sim3": 7}
 
@@ -43,7 +43,7 @@ class Cloud:
         if most is None or len(self.means) <= most:
             return self
         n = len(self.means)
-        at = even_rows(n, most) if seed is None else np.sort(np.random.default_rng(seed).choice(n, most, replace=False))
+        at = even_rows(n, most) if seed is None else drawn_rows(n, most, seed)
         return Cloud(self.means[at], self.normals[at], None if self.scales is None else self.scales[at])
 
 
@@ -54,7 +54,10 @@ def jacobian(row: np.ndarray, t: np.ndarray, source: np.ndarray, moved: np.ndarr
 
 
 class Residual(Protocol):
-    """What the loop asks of a residual. `weight` multiplies the cost once; `robust` maps |r| to a further weight."""
+    """What the loop asks of a residual. `weight` multiplies the cost once; `robust` maps |r| to a further weight.
+
+    Arrays and tables give the same rows: samples, caps and kernels hold on both.
+    """
 
     weight: float
     robust: Callable[[np.ndarray], np.ndarray] | None
@@ -101,6 +104,7 @@ class ICP:
         return r, jacobian(row, t, s, p)
 
     def table(self, t, target, source):
+        source = source if self.most is None else stride_sample(source, self.most)
         p = source.select("gid", *E.moved(t))
         pairs = nearest_join(p, target)
         if self.max_distance > 0:
@@ -140,7 +144,8 @@ class SDF:
         return d, jacobian(g, t, s, p)
 
     def table(self, t, target, source):
-        f = gaussian_sdf_grad(thin_normals(target), source.select("gid", *E.moved(t)), self.sigma, self.truncate)
+        source = source if self.samples is None else drawn_sample(source, self.samples, self.seed)
+        f = gaussian_sdf_grad(thin_normals(target), source.select("gid", *E.moved(t)), self.sigma, self.truncate, self.knn)
         rows = f.join(source.select(F.col("gid").alias("q"), "x", "y", "z"), "q")
         return rows.select(F.col("d").alias("r"), *_table_jacobian([F.col(c) for c in ("gx", "gy", "gz")], t, E.moved(t)), F.lit(float(self.weight)).alias("w"))
 
@@ -211,7 +216,11 @@ def _system(t, residuals, target, source, dof):
     h, b, cost, n = np.zeros((dof, dof)), np.zeros(dof), 0.0, 0
     for res in residuals:
         if isinstance(source, DataFrame):
-            dh, db, dc, dn = normal_equations(res.table(t, target, source), dof)
+            rows = res.table(t, target, source)
+            if res.robust is not None:
+                k = E.kernel_column(res.robust, F.col("r"))
+                rows = rows.withColumn("w", F.col("w") * k * k)
+            dh, db, dc, dn = normal_equations(rows, dof)
         else:
             r, j = res.rows(t, target, source)
             w = np.full(len(r), float(res.weight))
@@ -226,8 +235,11 @@ def _system(t, residuals, target, source, dof):
 def run_lm(t0: np.ndarray, residuals: list, target, source, transform: str = "se3", solver: LevenbergMarquardt | None = None, n_iters: int = 20, max_trans_step: float = 0.01, max_rot_step: float = 0.15, convergence_tol: float = 1e-5) -> RegisterResult:
     """Minimises the residuals from `t0`. Steps are clamped and never rejected; the last system gives the covariance.
 
-    `target` and `source` are clouds (arrays) or splat tables; on tables each iteration is one job a residual.
+    `target` and `source` are clouds (arrays) or splat tables; tables are settled once, and each iteration is then one
+    job a residual.
     """
+    if isinstance(source, DataFrame):
+        target, source = settled(target), settled(source)
     dof, t, solver = DOF[transform], np.array(t0, float), solver or LevenbergMarquardt()
     history, converged = [], False
     h, b, cost, n = _system(t, residuals, target, source, dof)

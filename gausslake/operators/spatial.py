@@ -22,10 +22,16 @@ FEW_ANCHORS, FEW_QUERIES = 10_000, 1_000_000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once into the shared checkpoint folder of the session."""
+    """`df` computed once into the shared checkpoint folder of the session.
+
+    Only a session on one machine that names no folder gets a temporary one; on a cluster that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gausslake-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gausslake-"))
     return df.checkpoint(eager=True)
 
 
