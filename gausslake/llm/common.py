@@ -105,6 +105,15 @@ def keyed(df: DataFrame, keys: list[str], order: list[str], work: Callable, sche
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
 
 
+def apart(name: str):
+    """A long column as it is, in a form that a plan does not recognise as the column its table is dealt by.
+
+    An aggregate that is joined back to its own rows by its key would share their exchange, and then adaptive execution
+    cannot split a key that holds many of the rows. With an exchange of its own it can; the aggregate is the small side.
+    """
+    return F.col(name).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def among(rows: DataFrame, wanted: DataFrame, key: str, few: int) -> DataFrame:
     """`rows` of which others than those of `wanted` keys may be missing: up to `few` keys (counted) are sent to all
     tasks, which spares the other rows the shuffle of the join that follows; with more keys all rows come."""
@@ -145,10 +154,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).distinct()
         before = tuple(count)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a hub's edges can be split: see `apart`
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(apart("u").alias("k"), "m")
+        e = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(least, "u")
+        joined = e.join(least.select(apart("u").alias("k"), "m"), F.col("u") == F.col("k"))
         e = checkpointed(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 

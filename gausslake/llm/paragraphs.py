@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import among, checkpointed, column, components, keyed, lean, longs, merge_labels, pieces, sorted_groups
+from .common import among, apart, checkpointed, column, components, keyed, lean, longs, merge_labels, pieces, sorted_groups
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -378,7 +378,7 @@ def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> Dat
         for some in _shared(batches, "gram"):
             yield from some.select(["row", "at"]).to_batches()
 
-    found = keyed(near.select("row", "text", "gone").mapInArrow(anchor, "row long, at long, gram long").distinct(), ["gram"], ["row", "at"], meet, "row long, at long")
+    found = keyed(near.select("row", "text", "gone").mapInArrow(anchor, "row long, at long, gram long"), ["gram"], ["row", "at"], meet, "row long, at long")
     hits = checkpointed(found.groupBy("row").agg(F.collect_set("at").alias("hits")))
     texts = among(near, hits, "row", s.few).join(hits, "row").dropDuplicates(["row"])
 
@@ -402,8 +402,8 @@ def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> Dat
     runs = checkpointed(texts.select("id", "row", "text", "hits", "gone").mapInArrow(expand, f"id {kind}, row long, at long, gram long, lost long"))
     order = F.struct("lost", F.col("id").isNull().alias("none"), "id", "row", "at")
     first = runs.groupBy("gram").agg(F.min(order).alias("f"), F.count("*").alias("copies")).where("copies > 1 and f.lost = 0")
-    first = first.select("gram", "copies", F.col("f.row").alias("home"), F.col("f.at").alias("from"))
-    placed = runs.drop("lost").join(first, "gram").withColumn("shift", F.col("at") - F.col("from"))
+    first = first.select(apart("gram").alias("key"), "copies", F.col("f.row").alias("home"), F.col("f.at").alias("from"))
+    placed = runs.drop("lost").join(first, F.col("gram") == F.col("key")).drop("key").withColumn("shift", F.col("at") - F.col("from"))
     # runs that follow each other and have their first places one after another are one passage
     island = F.col("at") - F.row_number().over(W.partitionBy("row", "home", "shift").orderBy("at"))
     spans = placed.withColumn("island", island).groupBy("row", "home", "shift", "island").agg(F.first("id").alias("id"), F.min("at").alias("first"), (F.max("at") + n).alias("end"), F.max("copies").alias("copies"))

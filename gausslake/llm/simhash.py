@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, components, keyed, lean, merge_labels, pieces, sorted_groups
+from .common import apart, checkpointed, column, components, keyed, lean, merge_labels, pieces, sorted_groups
 from .paragraphs import Settings, _bands, _identity, _shingles, met, verified
 
 LEAF, FAN = 32, 8
@@ -244,8 +244,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     nodes = components(links(owners.select(F.col("fp").alias("node"), "fp"), distance))
     grouped = owners.join(nodes, owners["fp"] == nodes["node"], "left").select(owners["fp"], "least", F.coalesce("component", owners["fp"]).alias("component"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = grouped.select("fp", "component").join(named, "component").select("fp", "component_id")
-    return fp.join(label, "fp").select(F.col("__id").alias(id), "fp", "component_id")
+    named = named.select(apart("component").alias("key"), "component_id")
+    label = grouped.select("fp", "component").join(named, F.col("component") == F.col("key")).select(apart("fp").alias("key"), "component_id")
+    return fp.join(label, F.col("fp") == F.col("key")).select(F.col("__id").alias(id), "fp", "component_id")
 
 
 def _signed_texts(docs: DataFrame, s: Settings) -> DataFrame:
