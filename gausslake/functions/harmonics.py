@@ -7,8 +7,8 @@ back, are related by it, so it is the solution of a small linear system.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def basis(degree: int, directions: np.ndarray) -> np.ndarray:
@@ -54,22 +54,13 @@ def rotate(colors: np.ndarray, r: np.ndarray) -> np.ndarray:
     return colors if colors.shape[1] == 1 else np.einsum("kj,njc->nkc", rotation_matrix(r, colors.shape[1]), colors)
 
 
-def rotate_column(df: DataFrame, r: np.ndarray) -> DataFrame:
-    """`df` with its `colors` turned by r in Arrow batches; null, RGB and single colours stay."""
-    columns = df.columns
-
-    def work(batches):
-        matrices: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at, rgb = batch.schema.get_field_index("colors"), batch.column(batch.schema.get_field_index("is_rgb")).to_pylist()
-            out = []
-            for own, flat in zip(batch.column(at).to_pylist(), rgb, strict=True):
-                if own is not None and not flat and len(own) > 1:
-                    if len(own) not in matrices:
-                        matrices[len(own)] = rotation_matrix(r, len(own))
-                    own = (matrices[len(own)] @ np.asarray(own, float)).tolist()
-                out.append(own)
-            new = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], columns)
-
-    return df.mapInArrow(work, df.schema)
+def rotate_column(df: DataFrame, r: np.ndarray, sizes: list[int]) -> DataFrame:
+    """`df` with its `colors` turned by r; null, RGB and single colours stay. `sizes` lists the numbers of coefficients
+    that rows have; each of them is one expression of constants, so nothing leaves generated code."""
+    turned = F.col("colors")
+    for k in sizes:
+        matrix = rotation_matrix(r, k)
+        rows = [[float(v) if abs(v) > 1e-15 else 0.0 for v in row] for row in matrix]
+        new = F.array(*[F.array(*[sum((F.col("colors")[j][c] * v for j, v in enumerate(row) if v), F.lit(0.0)) for c in range(3)]) for row in rows])
+        turned = F.when((F.size("colors") == k) & ~F.coalesce("is_rgb", F.lit(False)), new).otherwise(turned)
+    return df.withColumn("colors", turned)

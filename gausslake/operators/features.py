@@ -30,9 +30,33 @@ def fpfh(df: DataFrame, k: int = 16, bins: int = BINS) -> DataFrame:
     """(gid, descriptor): fast point feature histograms, 3 * bins numbers of length one.
 
     Neighbour pairs are made once; their three angles are counted by bin, and the histograms of the neighbours are
-    added with inverse-distance weights. Rows without neighbours have zeros.
+    added with inverse-distance weights. Rows without neighbours have zeros. Normals that `df` has (nx, ny, nz) are
+    used; otherwise they come from the neighbours.
     """
-    own = settled(estimate_anchor_normals(df.select("gid", "x", "y", "z"), k, itself=False))
+    summed = fpfh_bins(df, k, bins)
+    entries = summed.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("bin", "h"))).alias("m"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("norm"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(3 * bins - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-12)))
+    made = entries.select(F.col("q").alias("gid"), full.alias("descriptor"))
+    zero = F.array_repeat(F.lit(0.0), 3 * bins)
+    return df.select("gid").join(made, "gid", "left").select("gid", F.coalesce("descriptor", zero).alias("descriptor"))
+
+
+def simple_bins(df: DataFrame, k: int = 16, bins: int = BINS) -> DataFrame:
+    """(q, bin, h): the share of a row's neighbours in each occupied bin of the three angles, before any spreading."""
+    return _bins(df, k, bins)[0]
+
+
+def fpfh_bins(df: DataFrame, k: int = 16, bins: int = BINS) -> DataFrame:
+    """(q, bin, h): the occupied bins of `fpfh` before they are scaled to length one."""
+    spfh, both, near = _bins(df, k, bins)
+    share = both.select("q", "a", (1 / F.greatest("d", F.lit(1e-12))).alias("inv")).join(near.select("q", "total"), "q")
+    added = share.join(spfh.select(F.col("q").alias("a"), "bin", "h"), "a").select("q", "bin", (F.col("inv") / F.col("total") * F.col("h")).alias("h"))
+    return spfh.unionByName(added).groupBy("q", "bin").agg(F.sum("h").alias("h"))
+
+
+def _bins(df: DataFrame, k: int, bins: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    has = {"nx", "ny", "nz"} <= set(df.columns)
+    own = settled(df.select("gid", "x", "y", "z", "nx", "ny", "nz") if has else estimate_anchor_normals(df.select("gid", "x", "y", "z"), k, itself=False))
     pairs = knn_join(own, own, k, other=True)
     p = own.select(F.col("gid").alias("q"), *[F.col(c).alias(f"p{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])
     q = own.select(F.col("gid").alias("a"), *[F.col(c).alias(f"q{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])
@@ -48,14 +72,7 @@ def fpfh(df: DataFrame, k: int = 16, bins: int = BINS) -> DataFrame:
     slot = F.explode(F.array(*[(F.least(F.greatest(F.floor(a * bins), F.lit(0)), F.lit(bins - 1)) + i * bins).cast("int") for i, a in enumerate(angles)]))
     near = both.groupBy("q").agg(F.count("*").alias("k"), F.sum(1 / length).alias("total"))
     spfh = settled(both.select("q", slot.alias("bin")).groupBy("q", "bin").agg(F.count("*").alias("n")).join(near, "q").select("q", "bin", (F.col("n") / F.col("k")).alias("h")))
-    share = both.select("q", "a", (1 / length).alias("inv")).join(near.select("q", "total"), "q")
-    added = share.join(spfh.select(F.col("q").alias("a"), "bin", "h"), "a").select("q", "bin", (F.col("inv") / F.col("total") * F.col("h")).alias("h"))
-    summed = spfh.unionByName(added).groupBy("q", "bin").agg(F.sum("h").alias("h"))
-    entries = summed.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("bin", "h"))).alias("m"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("norm"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(3 * bins - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-12)))
-    made = entries.select(F.col("q").alias("gid"), full.alias("descriptor"))
-    zero = F.array_repeat(F.lit(0.0), 3 * bins)
-    return df.select("gid").join(made, "gid", "left").select("gid", F.coalesce("descriptor", zero).alias("descriptor"))
+    return spfh, both, near
 
 
 def match_features(source: DataFrame, target: DataFrame, ratio: float = 0.92, block: int = 2048) -> DataFrame:

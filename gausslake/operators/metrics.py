@@ -88,9 +88,54 @@ def trim_mask(distances: DataFrame, share: float, column: str = "d") -> DataFram
 def overlap_residual(source: DataFrame, target: DataFrame, share: float = 0.85) -> float:
     """Trimmed mean distance of target rows to the source, over the target's bounding radius."""
     d = trimmed(nearest_join(target, source), share)
-    c = target.agg(*[F.avg(x).alias(x) for x in "xyz"]).first()
-    radius = target.agg(F.max(F.sqrt(sum(((F.col(x) - c[x]) ** 2 for x in "yz"), (F.col("x") - c["x"]) ** 2)))).first()[0]
-    return d / max(radius, 1e-12)
+    return d / max(centroid_stats(target)["radius"], 1e-12)
+
+
+def symmetric_overlap_residual(source: DataFrame, target: DataFrame, share: float = 0.85, share_back: float = 0.6) -> float:
+    """`overlap_residual` and the same from the source to the target, which may show only a part of it and is therefore
+    trimmed harder; both over the target's bounding radius."""
+    back = trimmed(nearest_join(source, target), share_back)
+    return overlap_residual(source, target, share) + back / max(centroid_stats(target)["radius"], 1e-12)
+
+
+def overlap_inliers(source: DataFrame, target: DataFrame, t: np.ndarray, within: float) -> int:
+    """Rows of the target that lie nearer than `within` to a row of the moved source."""
+    return nearest_join(target, source.select("gid", *E.moved(t))).where(F.col("d") < within).count()
+
+
+def centroid_stats(df: DataFrame) -> dict[str, float]:
+    """Centroid (cx, cy, cz), root mean square distance from it (rms) and largest one (radius): two aggregations."""
+    m = df.agg(*[F.avg(c) for c in "xyz"]).first()
+    d2 = sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip("yz", m[1:], strict=True)), (F.col("x") - m[0]) * (F.col("x") - m[0]))
+    rms, radius = df.agg(F.sqrt(F.avg(d2)), F.sqrt(F.max(d2))).first()
+    return {"cx": m[0], "cy": m[1], "cz": m[2], "rms": rms, "radius": radius}
+
+
+def pick_near_best(rows: DataFrame, score: str, off: str, id: str, within: float = 5e-3) -> DataFrame:
+    """The one row that is `off` least among those whose score is about as good as the least: within `within` of it, in
+    units of it if it is above 1. Ties go to the smaller id."""
+    best = F.min(score).alias("__best")
+    near = rows.join(F.broadcast(rows.agg(best)), F.col(score) <= F.col("__best") + within * F.greatest(F.lit(1.0), F.abs("__best")))
+    return near.drop("__best").orderBy(off, id).limit(1)
+
+
+def score_hypotheses(pairs: DataFrame, poses: list[np.ndarray], tolerance: float) -> DataFrame:
+    """(pose_id, inliers, error) of a bounded list of poses over point pairs (sx.., tx..): pairs nearer than `tolerance`
+    after the move, and their mean distance. The pairs are read once, the poses are a constant of the plan."""
+    listed = F.array(*[F.struct(F.lit(i).alias("pose_id"), F.array(*[F.lit(float(v)) for v in p[:3].ravel()]).alias("m")) for i, p in enumerate(poses)])
+    rows = pairs.withColumn("p", F.explode(listed)).select("*", "p.pose_id", "p.m")
+    m = lambda i: F.col("m")[i]
+    apart = [m(4 * i) * F.col("sx") + m(4 * i + 1) * F.col("sy") + m(4 * i + 2) * F.col("sz") + m(4 * i + 3) - F.col(f"t{c}") for i, c in enumerate("xyz")]
+    d = F.sqrt(apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2])
+    hit = F.when(F.col("d") < tolerance, F.col("d"))
+    return rows.select("pose_id", d.alias("d")).groupBy("pose_id").agg(F.count(hit).alias("inliers"), F.avg(hit).alias("error"))
+
+
+def success_rates(errors: DataFrame, by: str, rotation: float = 2.0, scale: float = 0.02) -> DataFrame:
+    """`by`, n, the lower medians of rotation_deg and scale, and the share of rows below both limits."""
+    solved = ((F.col("rotation_deg") < rotation) & (F.col("scale") < scale)).cast("double")
+    middle = [F.expr(f"percentile_disc(0.5) within group (order by {c})").alias(f"median_{c}") for c in ("rotation_deg", "scale")]
+    return errors.groupBy(by).agg(F.count("*").alias("n"), *middle, F.avg(F.coalesce(solved, F.lit(0.0))).alias("solved"))
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:

@@ -132,7 +132,7 @@ class SDF:
     sigma: float
     weight: float = 0.3
     samples: int | None = 2000
-    knn: int = 50
+    knn: int | None = 50
     truncate: float = 3.0
     seed: int = 0
     robust: Callable | None = None

@@ -22,9 +22,9 @@ def apply_transform(df: DataFrame, t: np.ndarray, scale: float = 1.0, rotate_col
     grown = {c: F.when(F.col("log_scales"), F.col(c) + float(np.log(s))).otherwise(F.col(c) * float(s)) for c in SCALE}
     new = dict(zip(("x", "y", "z"), E.moved(t), strict=True)) | dict(zip(("qw", "qx", "qy", "qz"), E.turned(r), strict=True)) | grown
     out = df.withColumns(new)
-    has = rotate_colors and not np.allclose(r, np.eye(3), atol=1e-15)
-    if has and not out.where(F.size("colors") > 1).isEmpty():
-        return harmonics.rotate_column(out, r)
+    if rotate_colors and not np.allclose(r, np.eye(3), atol=1e-15):
+        sizes = sorted(k for k in out.agg(F.collect_set(F.size("colors"))).first()[0] if k > 1)
+        return harmonics.rotate_column(out, r, sizes) if sizes else out
     return out
 
 

@@ -65,8 +65,18 @@ def with_normals(p: np.ndarray, k: int = 12) -> Cloud:
 def replay(events: DataFrame, key: str, order: list[str], decay: float = 0.5) -> DataFrame:
     """The running state s = decay * s + (1 - decay) * value of each key over ordered events, as a batch query.
 
-    The same recurrence that a tracked state follows, written as one ordered aggregation a key.
+    The last state is the sum of the values, each weighed by (1 - decay) * decay**k with k later events of its key. How
+    many are later is counted from settled ranges of the order, so one key's events need not meet in a task.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col("value").alias("v"))))
-    folded = F.aggregate(rows, F.lit(0.0), lambda s, r: s * decay + r["v"] * (1 - decay))
-    return events.groupBy(key).agg(folded.alias("state"), F.count("*").alias("n"))
+    from pyspark.sql import Window as W
+
+    from ..operators.spatial import settled
+
+    rows = events.select(key, *order, "value").repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id())
+    rows = settled(rows)
+    sizes = rows.groupBy(key, "__part").agg(F.count("*").alias("__n"))
+    later = F.sum("__n").over(W.partitionBy(key).orderBy("__part").rowsBetween(1, W.unboundedFollowing))
+    sizes = sizes.select(key, "__part", F.coalesce(later, F.lit(0)).alias("__later"))
+    inside = F.row_number().over(W.partitionBy("__part", key).orderBy(*[F.desc(c) for c in order])) - 1
+    weighed = rows.withColumn("__k", inside).join(sizes, [key, "__part"])
+    return weighed.groupBy(key).agg(F.sum(F.col("value") * (1 - decay) * F.pow(F.lit(decay), F.col("__k") + F.col("__later"))).alias("state"), F.count("*").alias("n"))
