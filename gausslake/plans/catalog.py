@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..functions import lie
 from ..model import conform, points, step_sample, stride_sample
-from ..operators import align, bundle, camera, features, field, fuse, metrics, moments, rigidity, solve, spatial, transform
+from ..operators import align, camera, features, field, fuse, metrics, moments, rigidity, solve, spatial, transform
 from ..operators.register import merge, register
 from ..streaming.tracker import replay
 
@@ -342,16 +342,6 @@ def trim_mask(spark, sf_dir):
     return metrics.trim_mask(spatial.nearest_join(a, b), 0.85).select("q", "a")
 
 
-@query(f"with {SQL_E}, m as (select avg(x) as x, avg(y) as y, avg(z) as z from e) select {', '.join(sql_r6(f'max(m.{c})', f'c{c}') for c in 'xyz')}, {sql_r6('sqrt(avg(' + sql_d('e', 'm') + ' ** 2))', 'rms')}, {sql_r6('max(' + sql_d('e', 'm') + ')', 'radius')} from e, m")
-def centroid(spark, sf_dir):
-    """Centroid, root mean square and bounding radius."""
-    e = splats(spark, sf_dir)
-    m = e.agg(*[F.avg(c) for c in "xyz"]).first()
-    d2 = sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip("yz", m[1:], strict=True)), (F.col("x") - m[0]) * (F.col("x") - m[0]))
-    out = e.agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"], F.sqrt(F.avg(d2)).alias("rms"), F.sqrt(F.max(d2)).alias("radius"))
-    return _rounded(out, out.columns)
-
-
 # ---- residuals, fields, normals ----------------------------------------------------------------------------------
 
 
@@ -472,7 +462,7 @@ GAMMA = 0.02
 _C = f"c as (select vec_id as cid, embedding[1]::double as sx, embedding[2]::double as sy, embedding[3]::double as sz, " + ", ".join(f"({float(RIGID[i, 0])!r}::double * embedding[1]::double + {float(RIGID[i, 1])!r}::double * embedding[2]::double + {float(RIGID[i, 2])!r}::double * embedding[3]::double + {float(RIGID[i, 3])!r}::double) + embedding[{12 + i}]::double * 0.3 as t{c}" for i, c in enumerate("xyz")) + " from embeddings)"
 _GAP = "abs(sqrt(" + " + ".join(f"(a.s{c} - b.s{c}) * (a.s{c} - b.s{c})" for c in "xyz") + ") - sqrt(" + " + ".join(f"(a.t{c} - b.t{c}) * (a.t{c} - b.t{c})" for c in "xyz") + "))"
 _EDGES = f"with {_C}, g as (select a.cid as i, b.cid as j, {_GAP} as d from c a join c b on a.cid < b.cid), e as (select i, j, exp(-d * d / (2 * {GAMMA} * {GAMMA})) as s from g where d < {GAMMA})"
-_SECOND = f"{_EDGES}, h as (select i, j, s from e union all select j, i, s from e), p as (select l.i, r.j, sum(l.s * r.s) as p from h l join h r on l.j = r.i where l.i < r.j group by l.i, r.j), w as (select e.i, e.j, e.s * p.p as w from e join p on e.i = p.i and e.j = p.j where e.s * p.p > 0)"
+_SECOND = f"{_EDGES}, h as materialized (select i, j, s from e union all select j, i, s from e), p as materialized (select l.i, r.j, sum(l.s * r.s) as p from h l join h r on l.j = r.i where l.i < r.j group by l.i, r.j), w as (select e.i, e.j, e.s * p.p as w from e join p on e.i = p.i and e.j = p.j where e.s * p.p > 0)"
 
 
 @query(f"{_EDGES} select i, j, {sql_r6('s', 's')} from e")
@@ -487,7 +477,7 @@ def rigidity_second_order(spark, sf_dir):
     return _rounded(rigidity.second_order(rigidity.compatibility_edges(correspondences(spark, sf_dir), GAMMA)), ["w"])
 
 
-@query(f"{_SECOND}, z as (select i, j, round(w, 6) as w from w), y as (select i, j, w from z union all select j, i, w from z), x as (select i, j, w, row_number() over (partition by i order by w desc, j) as r from y), k as (select i, j, w from x where r <= 8) select k.i, k.j from k join k k2 on k.i = k2.j and k.j = k2.i where k.i < k.j")
+@query(f"{_SECOND}, z as materialized (select i, j, round(w, 6) as w from w), y as materialized (select i, j, w from z union all select j, i, w from z), x as materialized (select i, j, w, row_number() over (partition by i order by w desc, j) as r from y), k as materialized (select i, j, w from x where r <= 8) select k.i, k.j from k join k k2 on k.i = k2.j and k.j = k2.i where k.i < k.j")
 def rigidity_degree_cap(spark, sf_dir):
     """The eight heaviest edges of both ends."""
     w = rigidity.second_order(rigidity.compatibility_edges(correspondences(spark, sf_dir), GAMMA))
@@ -551,15 +541,6 @@ def exposure_fit(spark, sf_dir):
     return _rounded(spark.createDataFrame([(c, g, b) for c, (g, b) in fit.items()], "channel string, gain double, bias double"), ["gain", "bias"])
 
 
-@query("with s as (select i, i + 0.5 as s from range(1024) t(i)), q as (select i, sqrt(s / 1024) as r, sqrt(1 - s / 1024) as k, 2 * pi() * s / sqrt(2.0::double) as a, 2 * pi() * s / 1.533751168755204::double as b from s) select i, " + ", ".join([sql_r6("k * cos(b)", "qw"), sql_r6("r * sin(a)", "qx"), sql_r6("r * cos(a)", "qy"), sql_r6("k * sin(b)", "qz")]) + " from q")
-def rotation_seeds(spark, sf_dir):
-    """1024 rotations spread over all of them."""
-    s = spark.range(1024).select(F.col("id").alias("i"), (F.col("id") + 0.5).alias("s"))
-    r, k = F.sqrt(F.col("s") / 1024), F.sqrt(1 - F.col("s") / 1024)
-    a, b = 2 * np.pi * F.col("s") / float(np.sqrt(2.0)), 2 * np.pi * F.col("s") / 1.533751168755204
-    return s.select("i", r6(k * F.cos(b), "qw"), r6(r * F.sin(a), "qx"), r6(r * F.cos(a), "qy"), r6(k * F.sin(b), "qz"))
-
-
 # ---- state over ordered events ------------------------------------------------------------------------------------
 
 
@@ -569,80 +550,4 @@ def event_state(spark, sf_dir):
     return _rounded(replay(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"]), ["state"])
 
 
-# ---- queries without SQL: eigenvectors, iterations, graphs ---------------------------------------------------------
-
-
-@query()
-def pca_normals(spark, sf_dir):
-    """Normals from neighbours."""
-    return field.estimate_anchor_normals(splats(spark, sf_dir), 8).select("gid", "nx", "ny", "nz")
-
-
-@query()
-def fpfh_descriptors(spark, sf_dir):
-    """Histograms of angles between neighbours."""
-    return features.fpfh(splats(spark, sf_dir), 8)
-
-
-@query()
-def sh_rotation(spark, sf_dir):
-    """Four colour coefficients of every splat turned by a rotation."""
-    e = splats(spark, sf_dir)
-    colors = F.array(F.array("x", "y", "z"), F.array("sx", "sy", "sz"), F.array("qx", "qy", "qz"), F.array("qw", "opacity", "x"))
-    colored = e.withColumns({"colors": colors, "is_rgb": F.lit(False)})
-    return transform.apply_transform(colored, RIGID).select("gid", "colors")
-
-
-def _pose_row(spark, r: solve.RegisterResult, truth: np.ndarray) -> DataFrame:
-    error = metrics.pose_error(r.T, truth)
-    return spark.createDataFrame([(r.T.ravel().tolist(), float(r.scale), bool(r.converged), error["rotation_deg"], error["translation"])], "pose array<double>, scale double, converged boolean, rotation_deg double, translation double")
-
-
-@query()
-def register_global(spark, sf_dir):
-    """The pose that brings the moved splat back, from seeds over all rotations."""
-    e = splats(spark, sf_dir)
-    return _pose_row(spark, register(e, transform.apply_transform(e, lie.inverse(RIGID)), init="global", quality="low"), RIGID)
-
-
-@query()
-def register_mac(spark, sf_dir):
-    """The same from correspondences by maximal cliques."""
-    c = correspondences(spark, sf_dir).orderBy("cid").toPandas()
-    got = rigidity.mac_pose(c[["sx", "sy", "sz"]].to_numpy(), c[["tx", "ty", "tz"]].to_numpy(), tolerance=0.1)
-    return _pose_row(spark, solve.RegisterResult(got["T"], 1.0, got["success"]), RIGID)
-
-
-@query()
-def merge_splats(spark, sf_dir):
-    """A and the moved B in one frame, without the rows that others hide."""
-    a, b = halves(spark, sf_dir)
-    out, _ = merge([a, transform.apply_transform(b, lie.inverse(POSE))], poses=[np.eye(4), POSE], voxel=VOXEL)
-    return out.select("gid", "x", "y", "z", "opacity")
-
-
-@query()
-def pose_graph(spark, sf_dir):
-    """Poses of five captures from all pairs, one of them wrong."""
-    truth = [lie.se3_exp(np.array([0.1, 0.05, -0.02, 0.2, 0.1, -0.1]) * k) for k in range(5)]
-    rel = {(i, j): lie.inverse(truth[i]) @ truth[j] for i in range(5) for j in range(i + 1, 5)}
-    rel[1, 3] = rel[1, 3] @ lie.se3_exp(np.array([0.3, 0.2, 0.1, 0.5, 0.4, 0.3]))
-    got = bundle.solve_pose_graph(5, rel)
-    return spark.createDataFrame([(i, j, float(w), (i, j) in got.rejected_edges) for (i, j), w in got.edge_weights.items()], "i int, j int, weight double, rejected boolean")
-
-
-@query()
-def coarse_camera(spark, sf_dir):
-    """The candidate camera whose silhouette fits a frame best."""
-    e = splats(spark, sf_dir)
-    frame = camera.project(e, VIEW, INTRINSICS).where("in_front and u >= 0 and u < 160 and v >= 0 and v < 160").select("u", "v", F.lit(1.0).alias("mask"))
-    got = camera.coarse_localize_camera(e, frame, INTRINSICS, 160, 160)
-    return spark.createDataFrame([(got["index"], got["iou"], got["pose"].ravel().tolist())], "pose_id int, iou double, pose array<double>")
-
-
-@query()
-def register_features(spark, sf_dir):
-    """The pose of the moved splat from descriptors, matches and hypotheses."""
-    e = splats(spark, sf_dir)
-    t, facts = align.feature_align(points(transform.apply_transform(e, lie.inverse(RIGID)), 600), points(e, 600), sweep=False)
-    return _pose_row(spark, solve.RegisterResult(t, 1.0, not facts["ambiguous"]), RIGID)
+from . import geometry  # noqa: E402, F401  (adds its queries)
