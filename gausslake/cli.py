@@ -9,29 +9,39 @@ import numpy as np
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .operators.register import merge, register
 from .operators.transform import apply_transform, info
+from .plans.quality import PRESETS
 from .sources.ply import load_ply, save_ply
 
 
 def _quality(text: str):
+    """A preset, auto, or a share above 0 and at most 1."""
     try:
-        return float(text)
+        value = float(text)
     except ValueError:
-        return text
+        if text in (*PRESETS, "auto"):
+            return text
+        raise argparse.ArgumentTypeError(f"{text!r} is no quality: one of {', '.join(PRESETS)}, auto, or a number") from None
+    if not 0 < value <= 1:
+        raise argparse.ArgumentTypeError(f"a quality must be above 0 and at most 1, not {text}")
+    return value
 
 
 def build_parser() -> argparse.ArgumentParser:
     """The arguments."""
     p = argparse.ArgumentParser(prog="gausslake", description=__doc__)
+    p.add_argument("--version", action="version", version=f"gausslake {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("align", help="pose that takes SOURCE to TARGET")
     a.add_argument("target")
     a.add_argument("source")
     a.add_argument("--output", help="write the moved source here")
-    m = sub.add_parser("merge", help="one splat of several, in the frame of the first")
+    m = sub.add_parser("merge", help="one splat of several, in the frame of one of them")
     m.add_argument("inputs", nargs="+")
     m.add_argument("--output", required=True)
+    m.add_argument("--ref", type=int, default=0, help="number of the input whose frame stays, from 0")
     m.add_argument("--no-dedupe", action="store_true")
     m.add_argument("--dedupe-method", choices=("voxel", "knn"), default="voxel")
     m.add_argument("--voxel", type=float)
@@ -66,7 +76,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         if len(args.inputs) < 2:
             raise ValueError("merge needs two files and more")
-        out, _ = merge([load_ply(spark, f) for f in args.inputs], transform=args.transform, init=args.init, dedupe=not args.no_dedupe, dedupe_method=args.dedupe_method, voxel=args.voxel, max_iters=args.max_iters, quality=args.quality)
+        if not 0 <= args.ref < len(args.inputs):
+            raise ValueError(f"--ref must be from 0 to {len(args.inputs) - 1}, not {args.ref}")
+        out, _ = merge([load_ply(spark, f) for f in args.inputs], ref=args.ref, transform=args.transform, init=args.init, dedupe=not args.no_dedupe, dedupe_method=args.dedupe_method, voxel=args.voxel, max_iters=args.max_iters, quality=args.quality)
         print(f"rows: {save_ply(out, args.output)}")
         return 0
     except (ValueError, OSError, PySparkException) as e:

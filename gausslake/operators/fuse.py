@@ -22,20 +22,20 @@ def diagonal(df: DataFrame) -> float:
     return sum((v or 0.0) ** 2 for v in r) ** 0.5
 
 
-def _half_spacing(df: DataFrame, alone: float) -> float:
+def _half_spacing(df: DataFrame, alone: float, sample: int | None) -> float:
     if df.limit(2).count() <= 1:
         return alone
-    return 0.5 * (median_spacing(df) or spacing_fallback(df))
+    return 0.5 * (median_spacing(df, sample) or spacing_fallback(df))
 
 
-def auto_voxel_size(df: DataFrame) -> float:
-    """Half the median spacing; 1 for a table of one row or none."""
-    return _half_spacing(df, 1.0)
+def auto_voxel_size(df: DataFrame, sample: int | None = 4096) -> float:
+    """Half the median spacing of `sample` rows (None: all); 1 for a table of one row or none."""
+    return _half_spacing(df, 1.0, sample)
 
 
-def auto_knn_radius(df: DataFrame) -> float:
-    """Half the median spacing; almost nothing for a table of one row or none."""
-    return _half_spacing(df, 1e-12)
+def auto_knn_radius(df: DataFrame, sample: int | None = 4096) -> float:
+    """Half the median spacing of `sample` rows (None: all); almost nothing for a table of one row or none."""
+    return _half_spacing(df, 1e-12, sample)
 
 
 def auto_sdf_sigma(df: DataFrame) -> float:

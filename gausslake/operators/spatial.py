@@ -209,11 +209,31 @@ def lower_median(df: DataFrame, column: str) -> float | None:
     return df.agg(F.expr(f"percentile_disc(0.5) within group (order by {column})")).first()[0]
 
 
-def median_spacing(df: DataFrame, sample: int = 4096, reference: int = 20_000) -> float | None:
+def median_spacing(df: DataFrame, sample: int | None = 4096, reference: int = 20_000) -> float | None:
     """Lower median distance of sampled rows to their nearest row that is not at the same place (1e-12); null if none.
 
     Sampled rows and those they are compared with are every step-th by gid, of bounded number, so this stays small.
+    With `sample` None it is that of all rows: rows of one place are one, which finds its nearest other by a join.
     """
+    if sample is None:
+        rows = finite(df).select("gid", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("x", "y", "z")])
+        places = settled(rows.groupBy("x", "y", "z").agg(F.min("gid").alias("gid"), F.count("*").alias("n")))
+        far = nearest_join(places, places, other=True).where(F.col("d") > 1e-12)
+        weighed = far.join(places.select(F.col("gid").alias("q"), "n"), "q").select("d", "n")
+        total = weighed.agg(F.sum("n")).first()[0]
+        if not total:
+            return None
+        # equal distances are one row before they are put in order
+        steps = weighed.groupBy("d").agg(F.sum("n").alias("n"))
+        before = steps.repartitionByRange("d").withColumn("part", F.spark_partition_id())
+        before = settled(before)
+        sizes = sorted(tuple(r) for r in before.groupBy("part").agg(F.sum("n")).collect())
+        at = (int(total) - 1) // 2
+        for part, n in sizes:
+            if at < n:
+                ordered = before.where(F.col("part") == part).withColumn("upto", F.sum("n").over(W.orderBy("d")))
+                return float(ordered.where(F.col("upto") > at).agg(F.min("d")).first()[0])
+            at -= n
     n = df.count()
     a = finite(step_sample(df, sample, n)).select("x", "y", "z").toPandas().to_numpy(float)
     b = finite(step_sample(df, reference, n)).select("x", "y", "z").toPandas().to_numpy(float)

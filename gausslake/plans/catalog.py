@@ -155,9 +155,9 @@ SQL_SPACING = f"with {SQL_E}, n as (select count(*) as n from e), p as (select a
 
 @query(f"{SQL_SPACING} select {sql_r6('0.5 * d', 'voxel')}, {sql_r6('0.5 * d', 'radius')} from o where r = (c + 1) // 2")
 def auto_sizes(spark, sf_dir):
-    """Voxel and radius that fit the spacing."""
+    """Voxel and radius that fit the spacing of all rows."""
     e = splats(spark, sf_dir)
-    return _rounded(_row(spark, voxel=fuse.auto_voxel_size(e), radius=fuse.auto_knn_radius(e)), ["voxel", "radius"])
+    return _rounded(_row(spark, voxel=fuse.auto_voxel_size(e, None), radius=fuse.auto_knn_radius(e, None)), ["voxel", "radius"])
 
 
 @query(f"with {SQL_E}, m as (select (sx + sy + sz) / 3 as m from e where (sx + sy + sz) > 0), o as (select m, row_number() over (order by m) as r, count(*) over () as c from m) select {sql_r6('m', 'fallback')}, {sql_r6('2 * m', 'sigma')} from o where r = (c + 1) // 2")

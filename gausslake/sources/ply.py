@@ -6,11 +6,15 @@ gives a splat table, `save_ply` writes one.
 
 from __future__ import annotations
 
+import os
+import shutil
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.expressions import dc_to_rgb, rgb_to_dc
 from ..model import POSITION, ROTATION, SCALE, conform
@@ -22,9 +26,10 @@ SPARK = {"i1": "byte", "u1": "short", "i2": "short", "u2": "int", "i4": "int", "
 
 
 def parse_header(lines: list[str]) -> tuple[str, int, list[tuple[str, str]], int]:
-    """(format, vertices, their (name, numpy type), bytes of elements before them) of a header's lines.
+    """(format, vertices, their (name, numpy type), size of the elements before them) of a header's lines; the size is
+    in lines for ASCII files, else in bytes.
 
-    Only elements of fixed width can stand before the vertices, which themselves must not hold lists.
+    Only elements of fixed width can stand before the vertices of a binary file; vertices must not hold lists.
     """
     if not lines or lines[0] != "ply":
         raise ValueError("not a PLY file")
@@ -50,6 +55,9 @@ def parse_header(lines: list[str]) -> tuple[str, int, list[tuple[str, str]], int
             if any(t is None for _, t in fields):
                 raise ValueError("vertices with list properties are not supported")
             return form, count, fields, skip
+        if form == "ascii":
+            skip += count
+            continue
         if any(t is None for _, t in fields):
             raise ValueError(f"element {name} with lists stands before the vertices")
         skip += count * np.dtype([(n, t) for n, t in fields]).itemsize
@@ -57,7 +65,7 @@ def parse_header(lines: list[str]) -> tuple[str, int, list[tuple[str, str]], int
 
 
 def read_header(path: str) -> tuple[str, int, list[tuple[str, str]], int]:
-    """(format, vertices, fields, place of the first vertex) of a file."""
+    """(format, vertices, fields, place of the first vertex) of a file; of an ASCII file, that of its first element."""
     lines, at = [], 0
     with open(path, "rb") as f:
         while True:
@@ -72,7 +80,25 @@ def read_header(path: str) -> tuple[str, int, list[tuple[str, str]], int]:
             if lines[0] != "ply":
                 raise ValueError("not a PLY file")
     form, count, fields, skip = parse_header(lines)
-    return form, count, fields, at + skip
+    return form, count, fields, at if form == "ascii" else at + skip
+
+
+def lines_before(path: str) -> int:
+    """Lines of the elements that stand before the vertices of an ASCII file."""
+    lines = []
+    with open(path, "rb") as f:
+        while (text := f.readline(4096).decode("ascii", "replace").strip()) != "end_header":
+            lines.append(text)
+    return parse_header(lines)[3]
+
+
+def ascii_rows(f, fields: list[tuple[str, str]], count: int, chunk: int = 65_536):
+    """(first, table) of chunks of the vertex lines that `f` gives next, each line read once."""
+    for lo in range(0, count, chunk):
+        lines = [f.readline().split() for _ in range(min(chunk, count - lo))]
+        if not lines[-1]:
+            raise ValueError(f"the file ends before vertex {lo + len(lines)}")
+        yield lo, np.array([tuple(x) for x in lines], dtype=[(n, t) for n, t in fields])
 
 
 class Rows(InputPartition):
@@ -90,34 +116,85 @@ class PlyReader(DataSourceReader):
         self.form, self.count, self.fields, self.start = read_header(self.path)
         if self.form not in ("binary_little_endian", "binary_big_endian", "ascii"):
             raise ValueError(f"unknown format {self.form!r}")
+        self.skip = lines_before(self.path) if self.form == "ascii" else 0
 
     def partitions(self):
         step = self.count if self.form == "ascii" else self.rows
         return [Rows(k, min(self.count, k + step)) for k in range(0, self.count, max(step, 1))] or [Rows(0, 0)]
 
+    def _tables(self, partition):
+        """(first row, table) of chunks of the partition."""
+        with open(self.path, "rb") as f:
+            f.seek(self.start)
+            if self.form == "ascii":
+                for _ in range(self.skip):
+                    f.readline()
+                yield from ascii_rows(f, self.fields, self.count)
+                return
+            kind = np.dtype([(n, (">" if self.form == "binary_big_endian" else "<") + t) for n, t in self.fields])
+            f.seek(self.start + partition.lo * kind.itemsize)
+            for lo in range(partition.lo, partition.hi, 65_536):
+                hi = min(partition.hi, lo + 65_536)
+                content = f.read((hi - lo) * kind.itemsize)
+                if len(content) != (hi - lo) * kind.itemsize:
+                    raise ValueError(f"{self.path} ends before vertex {hi}")
+                yield lo, np.frombuffer(content, kind)
+
     def read(self, partition):
-        order = ">" if self.form == "binary_big_endian" else "<"
-        kind = np.dtype([(n, order + t) for n, t in self.fields])
-        for lo in range(partition.lo, partition.hi, 65_536):
-            hi = min(partition.hi, lo + 65_536)
-            with open(self.path, "rb") as f:
-                f.seek(self.start)
-                if self.form == "ascii":
-                    for _ in range(lo):
-                        f.readline()
-                    table = np.array([tuple(f.readline().split()) for _ in range(hi - lo)], dtype=[(n, t) for n, t in self.fields])
-                else:
-                    f.seek(self.start + lo * kind.itemsize)
-                    table = np.frombuffer(f.read((hi - lo) * kind.itemsize), kind)
-            if len(table) != hi - lo:
-                raise ValueError(f"{self.path} ends before vertex {hi}")
-            arrow = [pa.array(np.arange(lo, hi, dtype=np.int64))]
+        for lo, table in self._tables(partition):
+            arrow = [pa.array(np.arange(lo, lo + len(table), dtype=np.int64))]
             for n, t in self.fields:
                 wide = {"u1": "i2", "u2": "i4", "u4": "i8"}.get(t, t)
                 arrow.append(pa.array(np.ascontiguousarray(table[n]).astype(wide)))
             yield pa.RecordBatch.from_arrays(arrow, ["gid", *(n for n, _ in self.fields)])
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    """A written part: its number, rows and file."""
+
+    number: int
+    rows: int
+    file: str
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """Writes the rows of each task, in their order, to a part of its own beside the file; the driver then joins the
+    parts byte by byte behind the header. The folder must be one that executors and driver share."""
+
+    def __init__(self, options, schema):
+        self.path, self.names = options["path"], schema.names
+
+    def write(self, batches):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        os.makedirs(f"{self.path}.parts", exist_ok=True)
+        file, rows = f"{self.path}.parts/{context.partitionId():06d}-{context.taskAttemptId()}", 0
+        kind = np.dtype([(n, "<f4") for n in self.names])
+        with open(file, "wb") as f:
+            for b in batches:
+                table = np.empty(b.num_rows, kind)
+                for i, n in enumerate(self.names):
+                    table[n] = b.column(i).to_numpy(zero_copy_only=False)
+                f.write(table.tobytes())
+                rows += b.num_rows
+        return Part(context.partitionId(), rows, file)
+
+    def commit(self, messages):
+        parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
+        with open(f"{self.path}.parts/whole", "wb") as out:
+            out.write(("ply\nformat binary_little_endian 1.0\n" + f"element vertex {sum(p.rows for p in parts)}\n" + "".join(f"property float {n}\n" for n in self.names) + "end_header\n").encode())
+            for p in parts:
+                with open(p.file, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 22)
+        os.replace(f"{self.path}.parts/whole", self.path)
+        shutil.rmtree(f"{self.path}.parts", ignore_errors=True)
+
+    def abort(self, messages):
+        shutil.rmtree(f"{self.path}.parts", ignore_errors=True)
+
+
 class SplatPly(DataSource):
     """The format splat_ply: vertices of a PLY file with their number as gid."""
 
@@ -132,6 +209,9 @@ class SplatPly(DataSource):
     def reader(self, schema):
         return PlyReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return PlyWriter(self.options, schema)
+
 
 def register_source(spark: SparkSession) -> None:
     """Makes the format known to a session."""
@@ -147,8 +227,12 @@ def load_points(spark: SparkSession, path: str) -> DataFrame:
 def load_ply(spark: SparkSession, path: str, splat_id: str = "") -> DataFrame:
     """A splat table of a file: logarithmic scales, opacity as it is stored, colours as RGB or coefficients.
 
-    Without first coefficients rows are mid-grey. Further coefficients are stored channel by channel.
+    Without first coefficients rows are mid-grey. Further coefficients are stored channel by channel. A path that only
+    Spark can open (another store) is read as one whole file; one that executors can open is split by rows.
     """
+    if "://" in path and not path.startswith("file://"):
+        return load_plys(spark, path).withColumn("splat_id", F.lit(splat_id))
+    path = path.removeprefix("file://")
     register_source(spark)
     raw = spark.read.format("splat_ply").load(path)
     missing = [c for c in REQUIRED if c not in raw.columns]
@@ -171,7 +255,7 @@ def load_ply(spark: SparkSession, path: str, splat_id: str = "") -> DataFrame:
 def save_ply(df: DataFrame, path: str) -> int:
     """Writes a splat table in gid order as binary little-endian floats; gives the number of rows.
 
-    Rows come to the driver one partition at a time. Linear scales are written as logarithms (of 1e-12 at least),
+    Tasks write their rows beside the file, in a folder that they share with the driver, which joins them. Linear scales are written as logarithms (of 1e-12 at least),
     RGB as first coefficients, missing colours as mid-grey.
     """
     facts = df.agg(F.count("*"), F.max(F.size("colors")), F.bool_and(F.coalesce("is_rgb", F.lit(True)))).first()
@@ -183,16 +267,8 @@ def save_ply(df: DataFrame, path: str) -> int:
     log = [F.when(F.col("log_scales"), F.col(c)).otherwise(F.log(F.greatest(F.col(c), F.lit(1e-12)))).alias(f"scale_{i}") for i, c in enumerate(SCALE)]
     rows = df.orderBy("gid").select(*POSITION, *first, *rest, "opacity", *log, *[F.col(c).alias(f"rot_{i}") for i, c in enumerate(ROTATION)])
     rows = rows.select(*[F.col(c).cast("float") for c in rows.columns])
-    kind = np.dtype([(c, "<f4") for c in rows.columns])
-    with open(path, "wb") as f:
-        f.write(("ply\nformat binary_little_endian 1.0\n" + f"element vertex {facts[0]}\n" + "".join(f"property float {c}\n" for c in rows.columns) + "end_header\n").encode())
-        held = []
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            held.append(tuple(row))
-            if len(held) == 65_536:
-                f.write(np.array(held, kind).tobytes())
-                held = []
-        f.write(np.array(held, kind).tobytes())
+    register_source(df.sparkSession)
+    rows.write.format("splat_ply").mode("overwrite").save(path)
     return int(facts[0])
 
 
@@ -202,8 +278,7 @@ def parse_splats(content: bytes) -> dict[str, np.ndarray]:
     end = content.index(b"\n", end) + 1
     form, count, fields, skip = parse_header([x.strip() for x in content[:end].decode("ascii", "replace").splitlines() if x.strip() != "end_header"])
     if form == "ascii":
-        body = content[end:].split(b"\n", count)[:count]
-        table = np.array([tuple(x.split()) for x in body], dtype=fields)
+        table = np.array([tuple(x.split()) for x in content[end:].split(b"\n", skip + count)[skip : skip + count]], dtype=fields)
     else:
         order = ">" if form == "binary_big_endian" else "<"
         kind = np.dtype([(n, order + t) for n, t in fields])

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import gausslake
 from gausslake.functions import lie
@@ -60,3 +61,28 @@ def test_recall_and_pose_errors(spark):
 def test_public_names():
     for name in "register merge apply_transform Tracker track make_track_residuals estimate_object_pose ObjectPoseEstimator add_metric adds_metric add_auc localize_camera coarse_localize_camera CameraPhotometric bundle_register solve_pose_graph pairwise_consistency SpatialIndex build_index rotate_sh sh_rotation_matrix mac_pose mac_feature_align QualityConfig resolve_quality load_ply save_ply from_gsplat to_gsplat gaussian_sdf gaussian_sdf_grad estimate_anchor_normals voxel_dedupe voxel_dedupe_report knn_dedupe knn_dedupe_report auto_voxel_size auto_knn_radius Residual ICP SDF Prior Photometric SplatPhotometric camera_ring refine_photometric run_lm LevenbergMarquardt".split():
         assert hasattr(gausslake, name)
+
+
+def test_ascii_files_with_other_elements(spark, tmp_path):
+    """Vertices behind another element, in more lines than one chunk; each line is read once."""
+    n = 70_000
+    head = f"ply\nformat ascii 1.0\nelement camera 2\nproperty list uchar int v\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    path = tmp_path / "a.ply"
+    path.write_text(head + "1 5\n2 5 6\n" + "".join(f"{i} {i % 7} 0.5\n" for i in range(n)))
+    got = ply.load_points(spark, str(path)).agg(F.count("*"), F.sum("x"), F.sum("y"), F.max("gid")).first()
+    assert tuple(got) == (n, n * (n - 1) / 2, sum(i % 7 for i in range(n)), n - 1)
+    path.write_text(head + "1 5\n2 5 6\n0 0 0\n")
+    with pytest.raises(Exception, match="ends before"):
+        ply.load_points(spark, str(path)).count()
+
+
+def test_parts_are_joined_in_order(spark, tmp_path):
+    """A file of many tasks holds all rows by gid, and nothing else is left beside it."""
+    df = from_arrays(spark, np.arange(3000.0).reshape(1000, 3)).repartition(7)
+    path = str(tmp_path / "s.ply")
+    for _ in range(2):
+        assert ply.save_ply(df, path) == 1000
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["s.ply"]
+    np.testing.assert_allclose(to_arrays(ply.load_ply(spark, "file://" + path))["means"], np.arange(3000.0).reshape(1000, 3))
+    empty = str(tmp_path / "e.ply")
+    assert ply.save_ply(df.where("gid < 0"), empty) == 0 and ply.load_ply(spark, empty).count() == 0
