@@ -366,6 +366,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leng
     return joined.mapInArrow(work, f"__id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:long,hi:long>>, kept binary").withColumnRenamed("__id", id)
 
 
+def oracle(length: int = 200) -> str:
+    """SQL (DuckDB) for `op6_repeats`: every string of `length` bytes in hexadecimal digits, two a byte."""
+    return f"""with h as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+ p as (select doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - {length - 1}))) as k from h),
+ g as materialized (select doc_id, k, hash(substring(x, 2 * k + 1, {2 * length})) as g from p),
+ r as (select doc_id, k from g where g in (select g from g group by g having count(*) > 1)),
+ i as (select doc_id, k, case when k <= lag(k) over (partition by doc_id order by k) + {length} then 0 else 1 end as fresh from r),
+ n as (select doc_id, k, sum(fresh) over (partition by doc_id order by k) as n from i),
+ s as (select doc_id, n, min(k) as lo, max(k) + {length} as hi from n group by doc_id, n),
+ c as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as done from s),
+ t as (select doc_id, sum(hi - lo)::bigint as n_removed, count(*) as n_spans, max(hi) as last, string_agg(substring(x, 2 * done + 1, 2 * (lo - done)), '' order by lo) as kept from c join h using (doc_id) group by doc_id)
+ select h.doc_id, length(x) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept || substring(x, 2 * last + 1), x))) as kept_sha256 from h left join t using (doc_id)"""
+
+
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
     """Bytes of every document that 200-byte strings starting elsewhere cover, and the digest of what is left."""
     from .common import table

@@ -319,7 +319,7 @@ def base_scan(text):
 
 def test_licenses(spark, real, monkeypatch):
     monkeypatch.setattr(licenses, "CHUNK", 50)
-    permission = licenses.TEMPLATES[6][1]
+    permission = next(t for label, t in licenses.TEMPLATES if t.endswith("documentation files"))
     rows = real[1] + ODD + [(500, "MIT License mit license, mit-license! Apache LICENSE"), (501, prose(47) + " gnu general public license " + prose(120)), (502, prose(40) + " " + permission.replace("any person", "every person") + " " + prose(10)), (503, "Licensed under CC BY-SA 4.0.")]
     found = licenses.scan(table(spark, rows)).collect()
     key = lambda x: (x[0] is None, x[0] or 0, *map(str, x[1:]))
@@ -332,6 +332,39 @@ def test_licenses(spark, real, monkeypatch):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_texts_changed_and_wrapped(spark):
+    """Whole texts with words changed, added and missing, wrapped anew, and each template as it is."""
+    rng, rows, want = random.Random(8), [], {}
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        rows.append((k, f"{prose(9)} {text} {prose(9)}"))
+        want[k] = label
+        n = len(licenses.WORD.findall(text))
+        if n >= 40:
+            w = text.split()
+            for p in sorted(rng.sample(range(len(w)), n // 25), reverse=True):
+                w[p : p + 1] = rng.choice([[], [rng.choice(WORDS)], [w[p], rng.choice(WORDS)]])
+            rows.append((100 + k, "".join(x + rng.choice([" ", " ", "\n"]) for x in w).upper()))
+            want[100 + k] = label
+    rows.append((900, " ".join(rng.sample(rows[4][1].split(), len(rows[4][1].split())))))
+    found = {r.doc_id: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert all(label in found[k].labels.split(",") for k, label in want.items())
+    assert not found[900].spans
+
+
+@pytest.mark.parametrize("name", ["op4_licenses", "op6_repeats"])
+def test_same_rows_as_sql(spark, name):
+    from gausslake.llm import registry
+    from tests.oracle import connection
+
+    got = registry.QUERIES[name](spark, SF)
+    want = connection(SF).execute(registry.ORACLES[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    rounded = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    key = lambda rows: sorted(map(repr, rounded(rows)))
+    assert key([(r[0], *map(str, r[1:])) for r in got.select(*names).collect()]) == key([(r[0], *map(str, r[1:])) for r in want.fetchall()])
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------------------
 
 
