@@ -165,8 +165,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def map_text(df: DataFrame, text: str, keep: list[str], work: Callable[[list], list[pa.Array]], fields: list[tuple[str, str]], rows: int = 256) -> DataFrame:
     """`keep` columns of `df` followed by `fields`, which `work` makes from lists of at most `rows` texts (null: empty).
 
-    The text goes back to Spark only if it is among `keep`. A clash between `keep` and `fields` is an error of the caller.
+    The text goes back to Spark only if it is among `keep`. A name that is both in `keep` and a field raises ValueError.
     """
+    if clash := sorted(set(keep) & {f for f, _ in fields}):
+        raise ValueError(f"columns {', '.join(clash)} of the table have the names of results; leave them out or rename them")
     inside = text in keep
     lean(df)
     source = df.select(*keep) if inside else df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))

@@ -117,7 +117,8 @@ def held_out(id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Weights and bias learned from at most `settings.sample` labelled rows that are not held out.
+    """Weights and bias learned from at most `settings.sample` labelled rows that are not held out; `labels` has the
+    columns doc_id and quality (0 or 1).
 
     The rows are those whose ids hash lowest, so a repeated run takes the same. Rows with a null id, null label or
     null text take no part; with none left all weights are 0. Only ids (for the choice) and the finished weights,

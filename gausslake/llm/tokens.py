@@ -11,8 +11,10 @@ by the pattern as one piece.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 import regex
@@ -45,11 +47,11 @@ def _byte_letters() -> dict[str, int]:
 class Counter:
     """Counts tokens of texts as the tokenizers library does for one byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(content)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.whole = self._prove()
@@ -135,20 +137,31 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    """The counter for a vocabulary file; one per worker process."""
-    return Counter(path)
+    """The counter for a vocabulary file of this machine."""
+    return Counter(Path(path).read_bytes())
+
+
+#: Counters of a worker process by the digest of their vocabulary.
+COUNTERS: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, limit: int = 512, rows: int = 256) -> DataFrame:
     """`keep` columns (default doc_id) with n_bytes, n_tokens and over_limit (more than `limit` tokens).
 
     A null text counts as empty: 0 bytes, 0 tokens, not over the limit. Repeated rows each keep their row; an empty
-    table gives no rows. `path` is a byte-level BPE file that every executor can read.
+    table gives no rows. `path` is a byte-level BPE file that the driver can read; its bytes, a few MB whatever the
+    table, go to the executors.
     """
     keep = keep or ["doc_id"]
+    if "over_limit" in keep:
+        raise ValueError("the column over_limit of the table has the name of a result; leave it out or rename it")
+    content = Path(path).read_bytes()
+    digest, shared = hashlib.sha256(content).hexdigest(), docs.sparkSession.sparkContext.broadcast(content)
 
     def work(texts: list[str]) -> list[pa.Array]:
-        return [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter(path).count(texts), pa.int64())]
+        if digest not in COUNTERS:
+            COUNTERS[digest] = Counter(shared.value)
+        return [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(COUNTERS[digest].count(texts), pa.int64())]
 
     found = map_text(docs, text, keep, work, [("n_bytes", "long"), ("n_tokens", "long")], rows)
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

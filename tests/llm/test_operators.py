@@ -586,6 +586,34 @@ def test_packing_is_best_fit_decreasing_item_by_item():
         assert sum(n for _, n, _, _ in plan.bins) == len(rooms)
 
 
+@pytest.mark.parametrize("sizes", [(8, 16), (7, 12, 20), (16,)])
+def test_packing_of_several_sizes_item_by_item(sizes):
+    """The plan over lengths with counts costs what plain best fit costs, over all choices of sizes to open bins with."""
+    from itertools import combinations
+
+    s = packing.Settings(sizes=sizes, fixed=1.0, square=200.0)
+
+    def plain(items, opened):
+        bins = []
+        for n, x in enumerate(items):
+            fits = [b for b in bins if b[0] - b[1] >= x]
+            if fits:
+                min(fits, key=lambda b: b[0] - b[1])[1] += x
+            else:
+                left = items[n:].count(x)
+                size = min((o for o in opened if o >= x), key=lambda o: (s.cost(o) / (min(o // x, left) * x), o))
+                bins.append([size, x])
+        return sum(s.cost(min(z for z in sizes if z >= b[1])) for b in bins)
+
+    for _ in range(40):
+        items = sorted((R.randrange(1, max(sizes) + 1) for _ in range(R.randrange(1, 50))), reverse=True)
+        choices = [c for n in range(1, len(sizes) + 1) for c in combinations(sizes, n) if c[-1] >= items[0]]
+        plan = packing.best_plan({x: items.count(x) for x in set(items)}, s)
+        assert plan.cost <= min(plain(items, c) for c in choices) * 1.1 + 1e-9
+        assert sum(n * content for _, n, content, _ in plan.bins) == sum(items)
+        assert all(content <= size for _, _, content, size in plan.bins)
+
+
 # ---- 9 ------------------------------------------------------------------------------------------------------------
 
 
@@ -605,6 +633,40 @@ def test_quality_learns_and_scores(spark):
     assert quality.score(empty(spark), model).count() == 0
 
 
+def test_follow_the_leader_by_hand():
+    """The vectorised passes equal the rule written out weight by weight."""
+    s = quality.Settings(bits=5, epochs=3, alpha=0.4, beta=0.7, l1=0.05, l2=0.2)
+    rng = random.Random(1)
+    rows = [(rng.randrange(2), np.sort(rng.sample(range(32), 6)), np.array([rng.random() for _ in range(6)])) for _ in range(30)]
+    z, n = [0.0] * 32, [0.0] * 32
+    good = sum(y for y, _, _ in rows)
+    bias = np.log((good + 1) / (len(rows) - good + 1))
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= s.l1 else -(z[k] - np.sign(z[k]) * s.l1) / ((s.beta + n[k] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for y, index, value in rows:
+            w = {k: weight(k) for k in index}
+            p = 1 / (1 + np.exp(-(bias + sum(w[k] * x for k, x in zip(index, value, strict=True)))))
+            for k, x in zip(index, value, strict=True):
+                g = (p - y) * x
+                sigma = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / s.alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    got, own = quality.follow(rows, s)
+    assert own == pytest.approx(bias)
+    np.testing.assert_allclose(got, [weight(k) for k in range(32)], rtol=1e-5, atol=1e-7)
+
+
+def test_results_never_share_a_name(spark):
+    docs = table(spark, [(1, "some words")])
+    with pytest.raises(ValueError, match="score"):
+        quality.score(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int")), keep=docs.columns)
+    with pytest.raises(ValueError, match="n_tokens"):
+        tokens.count_tokens(docs.withColumn("n_tokens", F.lit(1)), tokens.vocabulary_path(), keep=["doc_id", "n_tokens"])
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = quality.op9_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()

@@ -1,5 +1,10 @@
 """The stages of the corpus pipeline, each on what the one before it kept."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gausslake.llm import common, decontaminate
 from tests.llm import brute
@@ -42,3 +47,61 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def odd(spark):
+    """Documents with nulls in every column, empty, repeated and very long texts, and columns whose names stages use."""
+    words = iter(f"w{k}x" for k in range(10**6))
+    some = lambda n: " ".join(next(words) for _ in range(n))
+    long = some(60_000)
+    rows = [(1, some(80), "en", "s", 1), (None, some(70), None, None, None), (2, None, "en", None, 0), (3, "", "de", "s", 0), (4, "  \n ", "de", "s", 4), (5, long, "en", "s", len(long)), (6, some(90), "fr", "t", 9)]
+    rows += [(7, some(60), "en", "s", 5)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("id", "row", "key", "gone", "node", "fp", "first", "end", "score", "tid", "more", "matches", "rank", "length", "n", "size"):
+        df = df.withColumn(c, F.lit(3))
+    return df
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    docs = odd(spark)
+    got = stage(spark, docs, SF).collect()
+    none = stage(spark, docs.where("doc_id < 0"), SF)
+    assert none.count() == 0
+    if name == "packing":
+        assert sorted({(r.doc_id is None, r.doc_id or 0) for r in got}) == [(False, k) for k in range(1, 8)] + [(True, 0)]
+        assert sum(r.length for r in got) == 80 + 70 + 60_000 + 90 + 3 * 60 + 10
+        return
+    assert none.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got)
+    want = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    if name == "quality":
+        assert set(kept) <= set(want)
+    elif name == "near_duplicates":
+        # texts without words are one group, equal rows another
+        assert [i for i, _ in kept] == [0, 1, 2, 5, 6, 7]
+    elif name == "repeated_passages":
+        # equal rows are treated alike, which keeps them; a row left blank goes only if words were taken out of it
+        assert kept == want
+    else:
+        assert kept == want
+    assert all(r.id == 3 and r.size == 3 for r in got)
+
+
+def test_near_duplicate_stage_keeps_one_of_each_component(spark):
+    """Groups around a centre whose members are no copies of each other: what is left are the exact components."""
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for g in range(25):
+        base = [word() for _ in range(200)]
+        for k in range(6):
+            w = list(base)
+            for p in rng.sample(range(0, 200, 5), 0 if k == 0 else 4):
+                w[p] = word()
+            rows.append((len(rows), " ".join(w), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [brute.shingles(t.encode().split()) for _, t, *_ in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if i // 6 == j // 6 and brute.jaccard(sets[i], sets[j]) >= 0.8]
+    label = brute.groups(len(rows), pairs)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted(set(label))
