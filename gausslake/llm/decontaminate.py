@@ -1,7 +1,7 @@
 """Benchmark decontamination by embedded edit distance.
 
 Items and texts are sequences of words. Both are cut into windows of a few lengths, powers of two up to the size of an
-item: items at every place, texts at every fourth of a window, so that each occurrence of an item lies on several pairs
+item: items at every place, texts at every three eighths of a window, so that each occurrence of an item lies on several pairs
 of windows. The CGK random walk embeds a window so that edit distance becomes Hamming distance; a table samples a few
 places of an embedding, and windows of which some table agrees in all its places are candidates. Repeated walks and
 tables, and the several windows of an item, bring the recall to its target; exact edit distance of the whole item
@@ -27,22 +27,22 @@ from .common import checkpointed, column, keyed, lean, longs, pieces
 #: Fixed value: a word.
 WORD = re.compile(r"[^\W_]+")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Multipliers that place the three bits of a key in the filter.
-SPOTS = tuple(np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64))
+#: Multipliers that place the five bits of a key in the filter.
+SPOTS = tuple(np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64))
 
 
 @dataclass(frozen=True)
 class Settings:
     """Edits up to the share `edits` of an item's words; `walks` embeddings, each sampled by `tables` of `places`.
 
-    Measured over random edits (a third each replaced, inserted, deleted): 0.97 and more of the items of 10 to 100 words
-    are found at 20 % edits, nearly all with fewer. `filter_bits` bounds the filter of keys that goes to all tasks: 2**28 bits are 32 MB. A benchmark with more keys
+    Measured over random edits (a third each replaced, inserted, deleted): 0.98 and more of the items of 10 to 200 words
+    are found at 20 % edits, 0.9 of those of 5 words, all with fewer. `filter_bits` bounds the filter of keys that goes to all tasks: 2**28 bits are 32 MB. A benchmark with more keys
     than it tells apart lets more windows through to the join, which decides; nothing is lost. Up to `few` texts that
     match are sent to all tasks when rows are looked up; more are joined.
     """
 
     edits: float = 0.2
-    walks: int = 4
+    walks: int = 3
     tables: int = 8
     places: int = 4
     filter_bits: int = 28
@@ -74,16 +74,17 @@ def word_hashes(text: str) -> np.ndarray:
 
 def stride(width: int) -> int:
     """How far apart windows of a text start."""
-    return max(1, width // 4)
+    return max(1, 3 * width // 8)
 
 
 def width_of(sizes: np.ndarray) -> np.ndarray:
-    """Window length for items of some sizes: the largest power of two such that a window from each of `stride` places
-    in a row lies inside the item; so an unchanged copy, wherever it starts, holds a whole window of the text."""
+    """Window length for items of some sizes: the largest power of two such that an unchanged copy, wherever it starts,
+    holds two whole windows of the text (one where windows start at every word)."""
     out = np.ones(len(sizes), np.int64)
     width = 2
     while len(sizes) and width <= sizes.max():
-        out[width + stride(width) - 1 <= sizes] = width
+        step = stride(width)
+        out[width + (2 * step - 1 if step > 1 else 0) <= sizes] = width
         width *= 2
     return out
 
@@ -113,29 +114,32 @@ def embedded_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, width
     pointer has not moved on since its last place, the next word counts; a key of one frequent word would say nothing.
     """
     steps = sampled(width, walk, s)
-    salts = np.random.default_rng((s.seed, width, walk, 1)).integers(0, 1 << 63, int(steps.max()) // 64 + 1, dtype=np.uint64)
+    most = int(steps.max())
+    salts = np.random.default_rng((s.seed, width, walk, 1)).integers(0, 1 << 63, most // 64 + 1, dtype=np.uint64)
     names = np.arange(s.tables, dtype=np.uint64) + np.uint64((width * 64 + walk) * 4096)
     keys = np.repeat(_mixed(names * K1)[:, None], len(starts), axis=1)
-    inside = np.ones((s.tables, len(starts)), bool)
-    at, top = starts.copy(), len(words) - 1
-    last = np.repeat(starts[None] - 1, s.tables, axis=0)
+    # pointers may run past the last word, where there are zeros
+    words = np.concatenate((words, np.zeros(most + s.places + 2, np.uint64)))
+    at, last, seen = starts.astype(np.int64), np.repeat(starts[None] - 1, s.tables, axis=0), np.empty(len(starts), np.uint64)
     looks: dict[int, list[int]] = {}
     for t, row in enumerate(steps.tolist()):
         for j in row:
             looks.setdefault(j, []).append(t)
     bits = np.zeros(0, np.uint64)
-    for j in range(int(steps.max()) + 1):
+    for j in range(most + 1):
         if j % 64 == 0:
             bits = _mixed(words ^ salts[j // 64])
-        if j in looks:
-            for t in looks[j]:
-                spot = np.maximum(at, last[t] + 1)
-                last[t] = spot
-                inside[t] = spot < ends
-                keys[t] = (keys[t] + words[np.minimum(spot, top)]) * K1
-        at += ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).view(np.int64)
-        np.minimum(at, top, out=at)
-    return _mixed(keys), inside
+        for t in looks.get(j, ()):
+            spot, key = last[t], keys[t]
+            spot += 1
+            np.maximum(spot, at, out=spot)
+            key += words.take(spot, out=seen, mode="clip")
+            key *= K1
+        bits.take(at, out=seen, mode="clip")
+        seen >>= np.uint64(j % 64)
+        seen &= np.uint64(1)
+        at += seen.view(np.int64)
+    return _mixed(keys), last < ends
 
 
 def edit_distances(items: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +194,7 @@ def item_keys(items: DataFrame, s: Settings) -> DataFrame:
 
 
 def key_filter(keys: DataFrame, bits: int, rows: int = 1 << 17) -> list[tuple[int, bytes]]:
-    """Three bits of each key set in a field of 2**bits, as blocks of bytes: what reaches the driver is bounded by `bits`."""
+    """Five bits of each key set in a field of 2**bits, as blocks of bytes: what reaches the driver is bounded by `bits`."""
     block = min(bits, 20)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,23 +220,28 @@ def key_filter(keys: DataFrame, bits: int, rows: int = 1 << 17) -> list[tuple[in
 
 
 def _spots(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Three bit numbers of each key, one after another."""
+    """Five bit numbers of each key, one after another."""
     shift = np.uint64(64 - bits)
     return np.concatenate([(keys * c) >> shift for c in SPOTS])
 
 
 def _passes(field: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Places of the keys whose three bits are all set."""
-    shift, left = np.uint64(64 - bits), np.arange(len(keys))
+    """Places of the keys whose five bits are all set in a packed field."""
+    shift, left = np.uint64(64 - bits), None
     for c in SPOTS:
-        spot = (keys[left] * c) >> shift
-        left = left[(field[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        spot = keys * c if left is None else keys[left] * c
+        spot >>= shift
+        byte = field.take((spot >> np.uint64(3)).view(np.int64), mode="clip")
+        byte >>= (spot & np.uint64(7)).astype(np.uint8)
+        byte &= 1
+        found = np.flatnonzero(byte)
+        left = found if left is None else left[found]
         if not len(left):
             break
     return left
 
 
-def window_hits(texts: DataFrame, widths: list[int], shared, bits: int, s: Settings, chunk: int = 1 << 15) -> DataFrame:
+def window_hits(texts: DataFrame, widths: list[int], shared, bits: int, s: Settings, chunk: int = 1 << 14) -> DataFrame:
     """(hit, tid, more, at, region, first, keys) for windows of `texts` (tid, more, text) of which a key passes the filter.
 
     `region` holds the word hashes around the window, in which an occurrence of an item of that class lies wholly,
@@ -334,7 +343,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_
     if not sized:
         return spark.createDataFrame([], schema)
     keys = checkpointed(item_keys(items, s).distinct())
-    bits = min(s.filter_bits, max(16, int(np.ceil(np.log2(16 * keys.count())))))
+    bits = min(s.filter_bits, max(16, int(np.ceil(np.log2(64 * keys.count())))))
     size = 1 << (min(bits, 20) - 3)
     made = dict(key_filter(keys, bits))
     shared = spark.sparkContext.broadcast([made.get(k, bytes(size)) for k in range(1 << max(0, bits - 20))])
