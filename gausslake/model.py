@@ -152,6 +152,20 @@ def drawn_rows(n: int, most: int, seed: int) -> np.ndarray:
     return np.sort(np.random.default_rng(seed).choice(n, most, replace=False))
 
 
+def strided_rows(n: int, most: int, seed: int = 0) -> np.ndarray:
+    """`most` of n row numbers: every step-th from an offset that the seed gives; the last rows fill up what is missing."""
+    if n <= most:
+        return np.arange(n)
+    step = max(1, n // most)
+    out = np.arange(seed % step, n, step)[:most]
+    return np.union1d(out, np.arange(n - (most - len(out)), n))[:most] if len(out) < most else out
+
+
+def strided_sample(df: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """The rows whose ranks by gid `strided_rows` gives."""
+    return rows_by_rank(df, lambda n: None if n <= most else strided_rows(n, most, seed))
+
+
 def rows_by_rank(df: DataFrame, choose) -> DataFrame:
     """The rows whose ranks by gid `choose` gives for the number of rows (None: all); a bounded list of them."""
     n, lo, hi = df.agg(F.count("*"), F.min("gid"), F.max("gid")).first()

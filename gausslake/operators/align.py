@@ -163,7 +163,7 @@ def basin_sweep(source: np.ndarray, target: np.ndarray, spark: SparkSession | No
     return poses[rivals[int(np.argmin([two_way_residual(a, b, poses[i]) for i in rivals]))]]
 
 
-def two_way_residual(source: np.ndarray, target: np.ndarray, t: np.ndarray, keep: float = 0.85, keep_back: float = 0.6) -> float:
+def two_way_residual(source: np.ndarray, target: np.ndarray, t: np.ndarray, keep: float = 0.8, keep_back: float = 0.5) -> float:
     """Trimmed mean distance of the target to the moved source and of the moved source to the target; the way from the
     source is trimmed harder, as the target may show only a part of it."""
     p = lie.apply(t, source)

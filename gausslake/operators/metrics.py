@@ -91,7 +91,7 @@ def overlap_residual(source: DataFrame, target: DataFrame, share: float = 0.85)
     return d / max(centroid_stats(target)["radius"], 1e-12)
 
 
-def symmetric_overlap_residual(source: DataFrame, target: DataFrame, share: float = 0.85, share_back: float = 0.6) -> float:
+def symmetric_overlap_residual(source: DataFrame, target: DataFrame, share: float = 0.8, share_back: float = 0.5) -> float:
     """`overlap_residual` and the same from the source to the target, which may show only a part of it and is therefore
     trimmed harder; both over the target's bounding radius."""
     back = trimmed(nearest_join(source, target), share_back)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import lie
-from ..model import drawn_rows, drawn_sample, even_rows, linear_scales, stride_sample
+from ..model import drawn_rows, drawn_sample, even_rows, linear_scales, strided_rows, strided_sample
 from .field import gaussian_sdf_grad, sdf_arrays, thin_normals
 from .spatial import nearest_arrays, nearest_join, settled
 
@@ -79,16 +79,17 @@ def _table_jacobian(row: list[Column], t: np.ndarray, p: list[Column]) -> list[C
 
 @dataclass
 class ICP:
-    """Distance to the nearest target point, or along the target's normal there."""
+    """Distance to the nearest target point, or along the target's normal there, of `most` source rows (None: all)."""
 
     weight: float = 1.0
     point_to_plane: bool = False
     max_distance: float = 0.0
     most: int | None = None
     robust: Callable | None = None
+    seed: int = 0
 
     def rows(self, t, target, source):
-        s = source.sample(self.most).means
+        s = source.means if self.most is None else source.means[strided_rows(len(source.means), self.most, self.seed)]
         p = lie.apply(t, s)
         d, at = nearest_arrays(p, target.means)
         if self.max_distance > 0:
@@ -104,7 +105,7 @@ class ICP:
         return r, jacobian(row, t, s, p)
 
     def table(self, t, target, source):
-        source = source if self.most is None else stride_sample(source, self.most)
+        source = source if self.most is None else strided_sample(source, self.most, self.seed)
         p = source.select("gid", *E.moved(t))
         pairs = nearest_join(p, target)
         if self.max_distance > 0:

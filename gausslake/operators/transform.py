@@ -19,8 +19,7 @@ def apply_transform(df: DataFrame, t: np.ndarray, scale: float = 1.0, rotate_col
     t[:3, :3] *= scale
     s = lie.scale_of(t)
     r = t[:3, :3] / s
-    grown = {c: F.when(F.col("log_scales"), F.col(c) + float(np.log(s))).otherwise(F.col(c) * float(s)) for c in SCALE}
-    new = dict(zip(("x", "y", "z"), E.moved(t), strict=True)) | dict(zip(("qw", "qx", "qy", "qz"), E.turned(r), strict=True)) | grown
+    new = dict(zip(("x", "y", "z"), E.moved(t), strict=True)) | dict(zip(("qw", "qx", "qy", "qz"), E.turned(r), strict=True)) | scaled(s)
     out = df.withColumns(new)
     if rotate_colors and not np.allclose(r, np.eye(3), atol=1e-15):
         sizes = sorted(k for k in out.agg(F.collect_set(F.size("colors"))).first()[0] if k > 1)
@@ -28,6 +27,18 @@ def apply_transform(df: DataFrame, t: np.ndarray, scale: float = 1.0, rotate_col
     return out
 
 
+def bake(df: DataFrame, t: np.ndarray) -> DataFrame:
+    """A splat whose places and scales are moved by `t`; quaternions, opacities and colours stay: a known truth for
+    what reads only geometry."""
+    t = np.array(t, float)
+    return df.withColumns(dict(zip(("x", "y", "z"), E.moved(t), strict=True)) | scaled(lie.scale_of(t)))
+
+
+def scaled(s: float) -> dict:
+    """The three scales times s, in either convention."""
+    return {c: F.when(F.col("log_scales"), F.col(c) + float(np.log(s))).otherwise(F.col(c) * float(s)) for c in SCALE}
+
+
 def union_splats(splats: list[DataFrame], renumber: bool = True) -> DataFrame:
     """All rows in the scale convention of the first table. Colours stay only if every row has them; RGB rows become
     first coefficients where others hold harmonics. New gids follow the order of the tables."""

@@ -76,6 +76,21 @@ def transform_without_colors(spark, sf_dir):
     return out.select("gid", *[r6(F.col(c), c) for c in "xyz"], r6(F.col("colors")[0][0], "c00"), r6(F.col("colors")[1][2], "c12"))
 
 
+@query(f"with {SQL_E} select gid, {_sixes([*zip(sql_moved(POSE), 'xyz', strict=True), ('qw', 'qw'), (f'sx * {C._S!r}', 'sx'), (f'sz * {C._S!r}', 'sz')])} from e")
+def baked_splats(spark, sf_dir):
+    """A known move of places and scales only."""
+    out = transform.bake(splats(spark, sf_dir), POSE)
+    return out.select("gid", *[r6(F.col(c), c) for c in ("x", "y", "z", "qw", "sx", "sz")])
+
+
+@query(f"with {SQL_E}, k as (select gid, row_number() over (order by gid) - 1 as r, count(*) over () as n from e), s as (select *, n // 70 as step, 5 % (n // 70) as off from k), p as (select *, r >= off and (r - off) % step = 0 and (r - off) // step < 70 as picked from s), c as (select count(*) filter (picked) as c from p) select gid from p, c where n <= 70 or picked or r >= n - (70 - c) order by gid limit 70")
+def icp_source_rows(spark, sf_dir):
+    """70 source rows by steps from an offset: the sampling of a residual."""
+    from ..model import strided_sample
+
+    return strided_sample(splats(spark, sf_dir), 70, seed=5).select("gid")
+
+
 @query(f"with {SQL_AB}, m as (select max(gid) + 1 as m from a), b2 as (select gid + m as gid, x, y, z, opacity from b, m), t as (select gid, x, y, z, opacity from a union all select * from b2), v as (select *, {C.sql_cell(C.VOXEL)} from t) select gid, {_sixes(zip('xyz', 'xyz', strict=True))}, opacity from v qualify row_number() over (partition by cx, cy, cz order by opacity desc, gid) = 1")
 def merge_splats(spark, sf_dir):
     """A and the moved B in one frame, without the rows that others hide."""
@@ -256,7 +271,7 @@ def _sql_trimmed(name: str, share: float) -> str:
     return f"{name}o as (select d, row_number() over (order by d) as r, count(*) over () as c from {name}), {name}t as (select avg(d) as t from {name}o where r <= greatest(1, floor({share} * c)))"
 
 
-@query(f"with {SQL_AB}, {sql_nn('b', 'a', 'f')}, {sql_nn('a', 'b', 'g')}, {_sql_trimmed('f', 0.85)}, {_sql_trimmed('g', 0.6)}, m as (select avg(x) as x, avg(y) as y, avg(z) as z from b), s as (select max({sql_d('b', 'm')}) as s from b, m) select {sql_r6('(ft.t + gt.t) / s.s', 'residual')} from ft, gt, s")
+@query(f"with {SQL_AB}, {sql_nn('b', 'a', 'f')}, {sql_nn('a', 'b', 'g')}, {_sql_trimmed('f', 0.8)}, {_sql_trimmed('g', 0.5)}, m as (select avg(x) as x, avg(y) as y, avg(z) as z from b), s as (select max({sql_d('b', 'm')}) as s from b, m) select {sql_r6('(ft.t + gt.t) / s.s', 'residual')} from ft, gt, s")
 def symmetric_overlap(spark, sf_dir):
     """Trimmed distances both ways, each with its own share."""
     a, b = halves(spark, sf_dir)

@@ -21,16 +21,26 @@ def frames(points: DataFrame) -> DataFrame:
     return points.groupBy("obj_id", "frame_id", "ts").agg(F.collect_list(F.struct("x", "y", "z")).alias("points"))
 
 
-def track_stream(frame_rows: DataFrame, source: Cloud, sigma: float, start: np.ndarray | None = None, transform: str = "se3") -> DataFrame:
+def track_stream(frame_rows: DataFrame, source: Cloud, sigma: float, start: np.ndarray | None = None, transform: str = "se3", watermark: str | None = None, forget_after: float | None = None) -> DataFrame:
     """Poses of `source` in frames (obj_id, frame_id, ts, points array<struct<x,y,z>>[, reset]) of a stream.
 
     Each key keeps its last pose; frames of one batch are taken by (ts, frame_id); a frame not later than the last is
     dropped; `reset` true starts anew. The source is of bounded size and goes to the tasks with the function.
+
+    With a `watermark` (as "10 minutes") frames later than it are dropped before the state is looked up; a key of which
+    no frame came for `forget_after` seconds of event time beyond it is forgotten, so the state does not grow for ever.
     """
+    if forget_after is not None and watermark is None:
+        raise ValueError("forget_after needs a watermark")
+    if watermark is not None:
+        frame_rows = frame_rows.withWatermark("ts", watermark)
     first = np.eye(4) if start is None else np.array(start, float)
     has_reset = "reset" in frame_rows.columns
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pose, last = first, None
         if state.exists:
             flat, last = state.get
@@ -48,9 +58,12 @@ def track_stream(frame_rows: DataFrame, source: Cloud, sigma: float, start: np.n
             out.append((key[0], r.frame_id, r.ts, pose.ravel().tolist(), result.info["rmse"]))
         if last is not None:
             state.update((pose.ravel().tolist(), last))
+            if forget_after is not None:
+                latest = max(int(pd.Timestamp(last, tz="UTC" if pd.Timestamp(last).tzinfo is None else None).timestamp() * 1000), state.getCurrentWatermarkMs())
+                state.setTimeoutTimestamp(latest + int(forget_after * 1000) + 1)
         yield pd.DataFrame(out, columns=["obj_id", "frame_id", "ts", "pose", "rmse"])
 
-    return frame_rows.groupBy("obj_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+    return frame_rows.groupBy("obj_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout" if forget_after is None else "EventTimeTimeout")
 
 
 def with_normals(p: np.ndarray, k: int = 12) -> Cloud:

@@ -115,13 +115,16 @@ def test_tracking_follows(spark):
     assert tracker.pose is None
 
 
-def test_tracking_a_stream(spark, tmp_path):
+@pytest.mark.parametrize("more", [{}, {"watermark": "1 minute", "forget_after": 60.0}])
+def test_tracking_a_stream(spark, tmp_path, more):
     p = object_points(250)
     rows = [("a", k, datetime(2024, 1, 1, 0, 0, k), *map(float, q)) for k in range(3) for q in lie.apply(pose(1.0 * k), p)]
     table = spark.createDataFrame(rows, "obj_id string, frame_id long, ts timestamp, x double, y double, z double")
     frames(table).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frames(table).schema).parquet(str(tmp_path / "in"))
-    out = track_stream(stream, with_normals(p), 0.01, pose(0.0))
+    with pytest.raises(ValueError, match="watermark"):
+        track_stream(stream, with_normals(p), 0.01, forget_after=1.0)
+    out = track_stream(stream, with_normals(p), 0.01, pose(0.0), **more)
     q = out.writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.frame_id: np.array(r.pose).reshape(4, 4) for r in spark.table("tracked").collect()}
