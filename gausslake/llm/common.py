@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 #: Rows that Spark hands to a Python worker at once; texts are long, so this is less than Spark's own default.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 
 
 def lean(df: DataFrame) -> DataFrame:
@@ -53,11 +54,23 @@ def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column(batch, name).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: workers live on between stages, and both Arrow and
+    the C library keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows`, so that what a worker holds besides its input stays small."""
+    """The same rows in batches of at most `rows`, so that what a worker holds besides its input stays small; what is no
+    longer used is released after the last."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
 def portions(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -98,6 +111,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         rest = [batch.slice(bounds[-1])]
     if rest:
         yield pa.Table.from_batches(rest)
+    release()
 
 
 def keyed(df: DataFrame, keys: list[str], order: list[str], work: Callable, schema: str) -> DataFrame:

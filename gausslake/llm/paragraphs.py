@@ -130,7 +130,7 @@ def places(docs: DataFrame, s: Settings) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 512):
+        for batch in pieces(batches, 128):
             at, first, end, own = [], [], [], []
             for i, text in enumerate(column(batch, "text").to_pylist()):
                 words, spans = _paragraphs(text, s)
@@ -149,12 +149,18 @@ def collisions(docs: DataFrame, s: Settings) -> DataFrame:
     """(bucket, size, paragraph): different paragraphs that share a band; buckets with the same members are one."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 512):
+        # what a task has sent it doesn't send again, so a line that most texts hold is a few rows
+        sent: set[int] = set()
+        for batch in pieces(batches, 128):
             own: dict[int, list[bytes]] = {}
             for text in column(batch, "text").to_pylist():
                 words, spans = _paragraphs(text, s)
                 for a, b in spans:
-                    own.setdefault(_identity(words[a:b]), words[a:b])
+                    if (i := _identity(words[a:b])) not in sent:
+                        sent.add(i)
+                        own[i] = words[a:b]
+            if len(sent) > 200_000:
+                sent.clear()
             if own:
                 keys = _bands(*_shingles(list(own.values()), s.words), s)
                 ids = np.repeat(np.array(list(own), np.int64), s.bands)
@@ -231,7 +237,7 @@ def links(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     once = among(docs, wanted, "row", s.few).groupBy("row").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 512):
+        for batch in pieces(batches, 128):
             ids, own = [], []
             for text, some in zip(column(batch, "text").to_pylist(), column(batch, "wanted").to_pylist(), strict=True):
                 words = text.lower().split()
@@ -355,7 +361,7 @@ def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> Dat
         return np.cumsum(out)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 512):
+        for batch in pieces(batches, 128):
             at, own, size = [], [], []
             for text, out in zip(column(batch, "text").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
                 words = _hashed(text)

@@ -212,19 +212,25 @@ def _meet(length: int):
             yield _batch(SPAN_NAMES, np.ones(len(pick), np.int32), t["key"][pick], t["tid"][pick], t["lo"][pick], t["hi"][pick], t["at"][pick], ~repeated[mixed & asked])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
+        # pieces of the last bucket so far; they are put together once, however many batches it fills
+        rest: list[dict[str, np.ndarray]] = []
+
+        def whole() -> dict[str, np.ndarray]:
+            return {k: np.concatenate([t[k] for t in rest]) for k in RUN_NAMES}
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = {k: column(batch, k).to_numpy(zero_copy_only=False) for k in RUN_NAMES}
-            if rest is not None:
-                t = {k: np.concatenate((rest[k], v)) for k, v in t.items()}
             last = int(np.flatnonzero(_changes(t["kind"], t["key"]))[-1])
-            if last:
-                yield from sift({k: v[:last] for k, v in t.items()})
-            rest = {k: v[last:] for k, v in t.items()}
-        if rest is not None:
-            yield from sift(rest)
+            if rest and not last and all(rest[-1][k][-1] == t[k][0] for k in ("kind", "key")):
+                rest.append(t)
+                continue
+            rest.append({k: v[:last] for k, v in t.items()})
+            yield from sift(whole())
+            rest = [{k: v[last:] for k, v in t.items()}]
+        if rest:
+            yield from sift(whole())
 
     return work
 
@@ -274,7 +280,6 @@ def _compare(length: int):
             return _batch(SPAN_NAMES, np.zeros(len(a), np.int32), zero, a, b, c, zero, np.ones(len(a), bool))
 
         rest: list[pa.Table] = []
-        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -287,7 +292,7 @@ def _compare(length: int):
                     rest.append(t.slice(0, last))
                 if (made := solve(rest)) is not None:
                     yield made
-                rest, size = [t.slice(last)], 0
+                rest = [t.slice(last)]
             else:
                 rest.append(t)
         if rest and (made := solve(rest)) is not None:

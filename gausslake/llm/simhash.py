@@ -254,7 +254,7 @@ def _signed_texts(docs: DataFrame, s: Settings) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 256):
+        for batch in pieces(batches, 128):
             own = [(x or b"").lower().split() for x in column(batch, "text").to_pylist()]
             sizes = [s.bands if x else 0 for x in own]
             some = [x for x in own if x]
@@ -285,7 +285,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     """`docs` with one row of each group of near-duplicates: that of the smallest id (null ids come last).
 
     Texts are linked if the Jaccard similarity of their `words`-word shingle sets is `similar` or more. MinHash bands
-    make candidates (`paragraphs.Settings`: a pair at 0.8 shares one with probability 0.9996); in a band every pair is
+    make candidates (`paragraphs.Settings`: a pair at 0.8 shares one with probability 0.9994); in a band every pair is
     compared by the whole sets, and only such links make groups. Texts of equal words are one node; those without
     words are equal to each other. Equal rows count as one.
     """
