@@ -313,8 +313,9 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return lesser(best[: len(best) - (width - span)], best[width - span :]) if span < width else best
 
 
-def _shared(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Batches, sorted by `key`, without the rows whose key stands alone; those of a key are never split."""
+def _shared(batches: Iterator[pa.RecordBatch], key: str, times: str) -> Iterator[pa.Table]:
+    """Batches, sorted by `key`, without the rows whose key stands alone and whose `times` is 1; those of a key are never
+    split."""
     rest: list[pa.RecordBatch] = []
     for batch in chain(batches, [None]):
         if batch is not None and batch.num_rows:
@@ -331,7 +332,7 @@ def _shared(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             continue
         keys = ready.column(key).to_numpy()
         same = keys[1:] == keys[:-1]
-        keep = np.append(False, same) | np.append(same, False)
+        keep = np.append(False, same) | np.append(same, False) | (ready.column(times).to_numpy() > 1)
         if keep.any():
             yield ready.filter(pa.array(keep))
 
@@ -362,7 +363,7 @@ def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> Dat
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 128):
-            at, own, size = [], [], []
+            own, times, size = [], [], []
             for text, out in zip(column(batch, "text").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
                 words = _hashed(text)
                 grams = _grams(words, k)
@@ -372,30 +373,33 @@ def passages(rows: DataFrame, s: Settings, gone: DataFrame | None = None) -> Dat
                     if out:
                         lost = covered(len(words), out)
                         some = some[(lost[n:] - lost[:-n])[: len(some)] < n]
-                    some = np.unique(some)
-                at.append(some)
-                own.append(grams[some])
-                size.append(len(some))
-            if at:
+                # a run that comes again and again in a text is one row
+                each, count = np.unique(grams[np.unique(some)], return_counts=True)
+                own.append(each)
+                times.append(count)
+                size.append(len(each))
+            if own:
                 row = column(batch, "row").take(pa.array(np.repeat(np.arange(len(size)), size)))
-                yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate(at)), pa.array(np.concatenate(own).view(np.int64))], ["row", "at", "gram"])
+                yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(times).astype(np.int64))], ["row", "gram", "times"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _shared(batches, "gram"):
-            yield from some.select(["row", "at"]).to_batches()
+        for some in _shared(batches, "gram", "times"):
+            yield from some.select(["row", "gram"]).to_batches()
 
-    found = keyed(near.select("row", "text", "gone").mapInArrow(anchor, "row long, at long, gram long"), ["gram"], ["row", "at"], meet, "row long, at long")
-    hits = checkpointed(found.groupBy("row").agg(F.collect_set("at").alias("hits")))
+    found = keyed(near.select("row", "text", "gone").mapInArrow(anchor, "row long, gram long, times long"), ["gram"], ["row"], meet, "row long, gram long")
+    hits = checkpointed(found.groupBy("row").agg(F.collect_set("gram").alias("hits")))
     texts = among(near, hits, "row", s.few).join(hits, "row").dropDuplicates(["row"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
             size, made = [], []
-            for text, at, out in zip(column(batch, "text").to_pylist(), column(batch, "hits").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
+            for text, hit, out in zip(column(batch, "text").to_pylist(), column(batch, "hits").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
                 words = _hashed(text)
-                grams = _grams(words, n)
+                grams, short = _grams(words, n), _grams(words, k)
                 lost = covered(len(words), out)
-                here = np.unique(np.array(at, np.int64)[:, None] - np.arange(n - k + 1))
+                at = np.unique(least_places(short, n - k + 1))
+                at = at[np.isin(short[at].view(np.int64), np.array(hit, np.int64))]
+                here = np.unique(at[:, None] - np.arange(n - k + 1))
                 here = here[(here >= 0) & (here < len(grams))]
                 here = here[lost[here + n] - lost[here] < n]
                 size.append(len(here))
