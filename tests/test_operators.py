@@ -145,6 +145,18 @@ def test_values_of_a_field_take_no_table_of_pairs(spark, monkeypatch):
     assert got.d[300] == got.d[301] == 0 and 0 < np.isnan(got.d).sum() < 50
 
 
+def test_gradients_of_a_field_take_no_table_of_pairs(spark, monkeypatch):
+    anchors, queries = _wide(spark)
+    made = field.gaussian_sdf_grad(anchors, queries, 0.2, use_opacity=True)
+    assert "Join" not in _plan(made) and "HashAggregate" not in _plan(made)
+    got = made.orderBy("q").toPandas()
+    monkeypatch.setattr(field, "SENT", 0)
+    joined = field.gaussian_sdf_grad(anchors, queries, 0.2, use_opacity=True).orderBy("q").toPandas()
+    np.testing.assert_allclose(got, joined, atol=1e-7)
+    nearest = field.gaussian_sdf_grad(anchors, queries, 0.2, most=1500, use_opacity=True).orderBy("q").toPandas()
+    np.testing.assert_allclose(got, nearest, atol=1e-7)
+
+
 @pytest.mark.parametrize("residual", [solve.ICP(), solve.ICP(point_to_plane=True), solve.SDF(0.03, samples=None, knn=400)])
 def test_derivatives_and_both_strategies(spark, residual):
     p = object_points(150)
