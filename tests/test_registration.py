@@ -4,6 +4,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gausslake import cli
 from gausslake.functions import lie
@@ -217,3 +218,34 @@ def test_second_order_weights_both_ways(spark, monkeypatch):
         monkeypatch.setattr(rigidity, "DENSE", most)
         got = {(r.i, r.j): r.w for r in rigidity.second_order(edges).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def _matched(spark, n, copies=0):
+    """Correspondences with ids of steps, a few of them copies of one and one without a place, and their edges by tables."""
+    s = R.normal(size=(n, 3)) * 0.3
+    t = lie.apply(pose(30), s) + R.normal(size=s.shape) * 0.02
+    s[1 : 1 + copies], t[1 : 1 + copies] = s[0], t[0]
+    rows = [(3 * i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(s, t, strict=True))]
+    rows.append((3 * n, None, 0.0, 0.0, 0.0, 0.0, float("nan")))
+    c = spark.createDataFrame(rows[::-1], "cid long, sx double, sy double, sz double, tx double, ty double, tz double")
+    return c, rigidity.second_order(rigidity.compatibility_edges(c, 0.05)).cache()
+
+
+def _weights(df):
+    return {(r.i, r.j): r.w for r in df.collect()}
+
+
+def test_second_order_weights_are_made_in_tiles(spark, monkeypatch):
+    c, w = _matched(spark, 150)
+    want = _weights(w)
+    for tile, kept in ((1024, 1 << 30), (40, 1 << 30), (40, 0)):
+        monkeypatch.setattr(rigidity, "TILE", tile)
+        monkeypatch.setattr(rigidity, "KEPT", kept)
+        made = rigidity.second_order_weights(c, 0.05)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        got = _weights(made)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    twice = c.union(c.where("cid = 30"))
+    assert sorted(_weights(rigidity.second_order_weights(twice, 0.05))) == sorted(_weights(rigidity.second_order(rigidity.compatibility_edges(twice, 0.05))))
+    assert rigidity.second_order_weights(c.limit(0), 0.05).count() == 0
