@@ -249,3 +249,14 @@ def test_second_order_weights_are_made_in_tiles(spark, monkeypatch):
     twice = c.union(c.where("cid = 30"))
     assert sorted(_weights(rigidity.second_order_weights(twice, 0.05))) == sorted(_weights(rigidity.second_order(rigidity.compatibility_edges(twice, 0.05))))
     assert rigidity.second_order_weights(c.limit(0), 0.05).count() == 0
+
+
+def test_capped_weights_rank_only_the_heaviest_of_each_tile(spark, monkeypatch):
+    c, w = _matched(spark, 150, copies=20)
+    want = _weights(rigidity.degree_cap(w.withColumn("w", F.round("w", 6)), 5))
+    for tile in (1024, 40, 3):
+        monkeypatch.setattr(rigidity, "TILE", tile)
+        made = rigidity.capped_weights(c, 0.05, 5)
+        got = _weights(made)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+    assert rigidity.capped_weights(c.limit(0), 0.05).count() == 0
