@@ -157,6 +157,13 @@ def test_gradients_of_a_field_take_no_table_of_pairs(spark, monkeypatch):
     np.testing.assert_allclose(got, nearest, atol=1e-7)
 
 
+def test_rows_of_a_field_residual_take_no_table_of_pairs(spark):
+    """What joins is one row per source row: its field and its place."""
+    anchors = from_arrays(spark, object_points(150), quats=R.normal(size=(150, 4)), scales=R.random((150, 3)))
+    made = solve.SDF(0.03, samples=None, knn=None).table(np.eye(4), anchors, from_arrays(spark, object_points(40) + 0.002))
+    assert _plan(made).count("Join") == 1 and made.count() == 40
+
+
 @pytest.mark.parametrize("residual", [solve.ICP(), solve.ICP(point_to_plane=True), solve.SDF(0.03, samples=None, knn=400)])
 def test_derivatives_and_both_strategies(spark, residual):
     p = object_points(150)
