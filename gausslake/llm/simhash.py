@@ -249,21 +249,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     return fp.join(label, F.col("fp") == F.col("key")).select(F.col("__id").alias(id), "fp", "component_id")
 
 
+#: Words of a shingle of a fingerprint.
+FINGERPRINT = 4
+
+
 def _signed_texts(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, row, node, bands) of `docs` (id, row, text binary): a hash of the words in order, MinHash band keys (none without words)."""
+    """(id, row, node, fp, bands) of `docs` (id, row, text binary): a hash of the words in order, the fingerprint, MinHash band keys (none without words)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 128):
-            own = [(x or b"").lower().split() for x in column(batch, "text").to_pylist()]
+            raw = column(batch, "text").to_pylist()
+            if not raw:
+                continue
+            fp, _ = _majority(raw, FINGERPRINT)
+            own = [(x or b"").lower().split() for x in raw]
             sizes = [s.bands if x else 0 for x in own]
             some = [x for x in own if x]
             keys = _bands(*_shingles(some, s.words), s).ravel().view(np.int64) if some else np.zeros(0, np.int64)
             ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
-            made = [pa.array(list(map(_identity, own)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys))]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "row"), *made], ["id", "row", "node", "bands"])
+            made = [pa.array(list(map(_identity, own)), pa.int64()), pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys))]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "row"), *made], ["id", "row", "node", "fp", "bands"])
 
-    return docs.select("id", "row", "text").mapInArrow(work, f"id {kind}, row long, node long, bands array<long>")
+    return docs.select("id", "row", "text").mapInArrow(work, f"id {kind}, row long, node long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -281,20 +289,31 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("paragraph", "text").mapInArrow(work, "paragraph long, shingles array<long>")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, similar: float = 0.8) -> DataFrame:
+def _near(made: DataFrame, distance: int) -> DataFrame:
+    """(band, paragraph): the nodes of `made` (node, fp) by the component of their fingerprint, where it has others."""
+    fps = made.select("fp").distinct()
+    same = components(links(fps.select(F.col("fp").alias("node"), "fp"), distance))
+    nodes = made.select("node", "fp").distinct()
+    named = nodes.join(same.select(apart("node").alias("key"), "component"), F.col("fp") == F.col("key"), "left")
+    return named.select(F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("band"), F.col("node").alias("paragraph"))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, similar: float = 0.8, distance: int = 4) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: that of the smallest id (null ids come last).
 
-    Texts are linked if the Jaccard similarity of their `words`-word shingle sets is `similar` or more. MinHash bands
-    make candidates (`paragraphs.Settings`: a pair at 0.8 shares one with probability 0.9994); in a band every pair is
-    compared by the whole sets, and only such links make groups. Texts of equal words are one node; those without
-    words are equal to each other. Equal rows count as one.
+    Texts are linked if the Jaccard similarity of their `words`-word shingle sets is `similar` or more. Candidates are
+    the components of fingerprints within `distance` bits, found by the Gray-order index as in `near_duplicates`, and,
+    for pairs further apart, MinHash bands (`paragraphs.Settings`: a pair at 0.8 shares one with probability 0.9994).
+    In a component and in a band every pair is compared by the whole sets, and only such links make groups. Texts of
+    equal words are one node; those without words are equal to each other. Equal rows count as one.
     """
     s = Settings(words=words, similar=similar)
     key = docs.withColumn("__row", F.xxhash64(F.col(id), F.col(text)))
     rows = lean(key).select(F.col(id).alias("id"), F.col("__row").alias("row"), F.col(text).cast("binary").alias("text"))
     made = checkpointed(_signed_texts(rows, s))
     nodes = made.groupBy(F.col("node").alias("paragraph")).agg(F.first("bands").alias("bands"), F.min("row").alias("row"))
-    hits = checkpointed(met(nodes.select(F.explode("bands").alias("band"), "paragraph")))
+    banded = nodes.select(F.explode("bands").alias("band"), "paragraph")
+    hits = checkpointed(met(banded.union(_near(made.where(F.size("bands") > 0), distance))))
     wanted = nodes.select("paragraph", "row").join(hits.select("paragraph").distinct(), "paragraph")
     texts = rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
     same = components(verified(hits, _sets(texts, s), s))

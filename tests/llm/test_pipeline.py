@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gausslake.llm import common, decontaminate
+from gausslake.llm import common, decontaminate, paragraphs, simhash
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
@@ -105,3 +105,18 @@ def test_near_duplicate_stage_keeps_one_of_each_component(spark):
     label = brute.groups(len(rows), pairs)
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert got == sorted(set(label))
+
+
+def test_near_duplicate_stage_takes_candidates_of_the_fingerprint_index(spark, monkeypatch):
+    """Bands that hardly any pair shares leave the candidates to the Gray-order index: near copies go all the same."""
+    rng, rows = random.Random(6), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for _ in range(20):
+        base = [word() for _ in range(400)]
+        rows += [" ".join(base), " ".join([*base[:-1], word()]), " ".join(base[:40])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(simhash, "Settings", lambda **k: paragraphs.Settings(**k, bands=1, rows=400))
+    linked = {r.doc_id for r in simhash.near_duplicates(docs).collect() if r.component_id != r.doc_id}
+    assert len(linked) > 10 and all(i % 3 == 1 for i in linked)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert not left & linked and left >= {i for i in range(60) if i % 3 != 1}
