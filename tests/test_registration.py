@@ -260,3 +260,21 @@ def test_capped_weights_rank_only_the_heaviest_of_each_tile(spark, monkeypatch):
         got = _weights(made)
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
     assert rigidity.capped_weights(c.limit(0), 0.05).count() == 0
+
+
+def test_capped_weights_of_copies_and_near_ties(spark, monkeypatch):
+    c, _ = _matched(spark, 150, copies=20)
+    noise = c.where("cid % 2 = 0").selectExpr("cid + 10000 as cid", "sx + cid * 1e-12 as sx", "sy", "sz", "tx", "ty", "tz")
+    c = c.union(noise).union(c.where("cid % 5 < 2").selectExpr("cid + 20000 as cid", "sx", "sy", "sz", "tx", "ty", "tz")).cache()
+    w = rigidity.second_order(rigidity.compatibility_edges(c, 0.05)).cache()
+    want, all_of = _weights(rigidity.degree_cap(w.withColumn("w", F.round("w", 6)), 5)), _weights(w)
+    places, tiles = [], rigidity._on_tiles
+    monkeypatch.setattr(rigidity, "_on_tiles", lambda spark, p, *more: places.append(len(p)) or tiles(spark, p, *more))
+    for tile in (8192, 100):
+        monkeypatch.setattr(rigidity, "TILE", tile)
+        got = _weights(rigidity.capped_weights(c, 0.05, 5))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+        got = _weights(rigidity.second_order_weights(c, 0.05))
+        assert got.keys() == all_of.keys() and all(got[k] == pytest.approx(v) for k, v in all_of.items())
+    # copies are multiplied once
+    assert set(places) == {c.where("sx is not null and not isnan(tz)").drop("cid").distinct().count()}
