@@ -278,3 +278,18 @@ def test_capped_weights_of_copies_and_near_ties(spark, monkeypatch):
         assert got.keys() == all_of.keys() and all(got[k] == pytest.approx(v) for k, v in all_of.items())
     # copies are multiplied once
     assert set(places) == {c.where("sx is not null and not isnan(tz)").drop("cid").distinct().count()}
+
+
+def test_second_order_weights_multiply_copies_once(spark, monkeypatch):
+    s = R.normal(size=(40, 3)) * 0.3
+    t = lie.apply(pose(30), s) + R.normal(size=s.shape) * 0.02
+    s, t = np.tile(s, (10, 1)), np.tile(t, (10, 1))
+    rows = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(s, t, strict=True))]
+    c = spark.createDataFrame(rows, "cid long, sx double, sy double, sz double, tx double, ty double, tz double")
+    places, tiles = [], rigidity._on_tiles
+    monkeypatch.setattr(rigidity, "_on_tiles", lambda spark, p, *more: places.append(len(p)) or tiles(spark, p, *more))
+    got = _weights(rigidity.second_order_weights(c, 0.05))
+    _, w2 = rigidity.compatibility_graph(s, t, 0.05)
+    want = {(i, j): w2[i, j] for i in range(400) for j in range(i + 1, 400) if w2[i, j] > 0}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert places == [40]
